@@ -1,9 +1,242 @@
-"""Registered queries over the driver's tables, and their SQL oracles."""
+"""Registered queries over the driver's tables, and their SQL oracles.
+
+Each entry is a pair: a function of (spark, folder of tables) and DuckDB SQL with the same columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.predicates import SpanFilter, TimeRange
+from ..functions.schema import fill
+from ..functions.validation import split, validate
+from ..operators import aggregates, live, rollups, scans
+from ..sources import otlp
+from .views import FROM_NS, KEY, SEQUENCE, SPLIT, TO_NS, lineitem_log, read, span_cte, spans
+
+RANGE = TimeRange(FROM_NS, TO_NS)
+IN_RANGE = f"start_ns between {FROM_NS} and {TO_NS}"
+FAILED = "lower(status) not in ('', 'ok', 'success', 'unset')"
+COLUMNS = ["trace_id", "span_id", "start_ns", "latency_ms", "agent", "model", "tool", "team", "status", "tokens_in", "tokens_out", "cost_usd"]
+SHOWN = ", ".join(COLUMNS)
+ORDER = "start_ns, trace_id, span_id"
+NEWEST = "start_ns desc, trace_id, span_id"
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query, sql: str) -> None:
+    _QUERIES[name], _ORACLES[name] = query, sql
+
+
+def _on_spans(name: str, query, sql: str) -> None:
+    _add(name, lambda spark, d, q=query: q(spans(spark, d)), f"with {span_cte()} {sql}")
+
+
+def _rounded(df: DataFrame, column: str = "cost_usd") -> DataFrame:
+    """Sums of doubles differ in their last bits between partitionings."""
+    return df.withColumn(column, F.round(column, 6))
+
+
+# -- scans and lookups
+
+for _name, _where, _sql in (
+    ("range_time", SpanFilter(RANGE), IN_RANGE),
+    ("range_query", SpanFilter(TimeRange(FROM_NS)), f"start_ns >= {FROM_NS}"),
+    ("range_all_dims", SpanFilter(RANGE, agent="agent-8", model="model-3", tool="error", team="team-1", status="ERROR"), f"{IN_RANGE} and agent = 'agent-8' and model = 'model-3' and tool = 'error' and team = 'team-1' and status = 'ERROR'"),
+    ("query_by_agent", SpanFilter(RANGE, agent="agent-3"), f"{IN_RANGE} and agent = 'agent-3'"),
+    ("query_by_model", SpanFilter(RANGE, model="model-2"), f"{IN_RANGE} and model = 'model-2'"),
+    ("query_by_tool", SpanFilter(RANGE, tool="purchase"), f"{IN_RANGE} and tool = 'purchase'"),
+    ("query_by_team", SpanFilter(RANGE, team="team-4"), f"{IN_RANGE} and team = 'team-4'"),
+    ("query_by_status", SpanFilter(RANGE, status="OK"), f"{IN_RANGE} and status = 'OK'"),
+    ("query_status_case", SpanFilter(RANGE, status="ok"), f"{IN_RANGE} and status = 'ok'"),
+):
+    _on_spans(_name, lambda sp, w=_where: scans.matching(sp, w).select(*COLUMNS), f"select {SHOWN} from sp where {_sql}")
+
+_on_spans("get_span", lambda sp: scans.span_lookup(sp, "t8", "s0").select(*COLUMNS), f"select {SHOWN} from sp where trace_id = 't8' and span_id = 's0'")
+_on_spans("get_trace", lambda sp: scans.trace_lookup(sp, "t8").select(*COLUMNS), f"select {SHOWN} from sp where trace_id = 't8' order by {ORDER}")
+# the row beyond the page tells whether there is a next one
+_on_spans("query_page1", lambda sp: scans.page(sp, SpanFilter(RANGE, model="model-1"), 50).select(*COLUMNS), f"select {SHOWN} from sp where {IN_RANGE} and model = 'model-1' order by {ORDER} limit 51")
+_on_spans("query_page2", lambda sp: scans.page(sp, SpanFilter(RANGE, model="model-1"), 50, "50").select(*COLUMNS), f"select {SHOWN} from sp where {IN_RANGE} and model = 'model-1' order by {ORDER} limit 51 offset 50")
+_on_spans("query_past_end", lambda sp: scans.page(sp, SpanFilter(RANGE), 50, "2000000000").select(*COLUMNS), f"select {SHOWN} from sp where false")
+_on_spans("query_newest", lambda sp: scans.page(sp, SpanFilter(RANGE), 0, "", True).select(*COLUMNS), f"select {SHOWN} from sp where {IN_RANGE} order by {NEWEST} limit 101")
+_on_spans("query_keyset", lambda sp: scans.page_after(sp, SpanFilter(), (FROM_NS, "", ""), 50).select(*COLUMNS), f"select {SHOWN} from sp where start_ns >= {FROM_NS} order by {ORDER} limit 50")
+_on_spans("traces", lambda sp: scans.traces(sp, SpanFilter(RANGE), 20), f"select trace_id from (select trace_id, min(start_ns) f, min(span_id) s from sp where {IN_RANGE} group by 1) order by f, trace_id limit 20")
+_on_spans("traces_newest", lambda sp: scans.traces(sp, SpanFilter(RANGE), 20, True), f"select trace_id from (select trace_id, max(start_ns) f from sp where {IN_RANGE} group by 1) order by f desc, trace_id limit 20")
+_on_spans("list_traces_all", lambda sp: scans.traces(sp, SpanFilter(RANGE, team="team-2"), None), f"select distinct trace_id from sp where {IN_RANGE} and team = 'team-2'")
+_on_spans("failed_spans", lambda sp: scans.failed_spans(sp, RANGE, 50).select(*COLUMNS), f"select {SHOWN} from sp where {IN_RANGE} and {FAILED} order by {NEWEST} limit 50")
+_on_spans("failed_all", lambda sp: scans.failed_spans(sp, RANGE, None).select(*COLUMNS), f"select {SHOWN} from sp where {IN_RANGE} and {FAILED}")
+
+# -- totals, rankings, listings
+
+for _by in ("model", "team"):
+    _on_spans(f"cost_by_{_by}", lambda sp, by=_by: _rounded(aggregates.costs(sp, by, RANGE)), f"select {_by}, round(sum(cost_usd), 6) cost_usd from sp where {IN_RANGE} and {_by} <> '' group by 1")
+_on_spans("tokens_by_model", lambda sp: aggregates.tokens_by_model(sp, RANGE), f"select model, sum(tokens_in)::bigint tokens_in, sum(tokens_out)::bigint tokens_out, sum(tokens_in::bigint + tokens_out)::bigint tokens_total from sp where {IN_RANGE} and model <> '' group by 1")
+_on_spans("top_teams_by_cost", lambda sp: _rounded(aggregates.top_teams_by_cost(sp, 3, RANGE)), f"select team, round(sum(cost_usd), 6) cost_usd from sp where {IN_RANGE} and team <> '' group by 1 order by sum(cost_usd) desc, team limit 3")
+_on_spans("top_models_by_spans", lambda sp: aggregates.top_models_by_spans(sp, 3, RANGE), f"select model, count(*) spans from sp where {IN_RANGE} and model <> '' group by 1 order by 2 desc, 1 limit 3")
+_on_spans("error_rate_all", lambda sp: _rounded(aggregates.error_rate(sp, "", RANGE), "error_rate"), f"select round(coalesce(avg(case when {FAILED} then 1.0::double else 0.0::double end), 0.0::double), 6) error_rate from sp where {IN_RANGE}")
+_on_spans("error_rate_model", lambda sp: _rounded(aggregates.error_rate(sp, "model-1", RANGE), "error_rate"), f"select round(coalesce(avg(case when {FAILED} then 1.0::double else 0.0::double end), 0.0::double), 6) error_rate from sp where {IN_RANGE} and model = 'model-1'")
+_on_spans("error_rate_none", lambda sp: aggregates.error_rate(sp, "no-such-model", RANGE), "select 0.0::double error_rate")
+for _dim in ("model", "team", "agent"):
+    _on_spans(f"distinct_{_dim}s", lambda sp, d=_dim: aggregates.distinct_values(sp, d, RANGE, 5), f"select distinct {_dim} from sp where {IN_RANGE} and {_dim} <> '' order by 1 limit 5")
+
+# -- rollups, over the append log
+
+
+def _bucket_sql(window: str, source: str = "sp", where: str = "true") -> str:
+    size = rollups.WINDOWS[window]
+    return f"""select start_ns - start_ns % {size} window_start_ns, model, count(*) spans, sum(round(cost_usd * 1e6)::bigint)::bigint / 1e6 cost_usd,
+      sum(tokens_in)::bigint tokens_in, sum(tokens_out)::bigint tokens_out, (sum(latency_ms) // count(*))::bigint latency_avg_ms,
+      min(latency_ms) latency_min_ms, max(latency_ms) latency_max_ms from {source} where {where} group by 1, 2"""
+
+
+for _w in rollups.WINDOWS:
+    _on_spans(f"rollup_{_w}", lambda sp, w=_w: rollups.rollup(sp, w), _bucket_sql(_w))
+_HALF = TimeRange(FROM_NS + 1_800_000_000_000, TO_NS - 1_800_000_000_000)
+_on_spans("rollup_unaligned", lambda sp: rollups.rollup(sp, "1h", _HALF), f"select * from ({_bucket_sql('1h')}) where window_start_ns >= {_HALF.start_ns} and window_start_ns < {_HALF.end_ns}")
+_on_spans("rollup_merged", lambda sp: rollups.present(rollups.within(rollups.partials(sp), "1d", RANGE)), f"select * from ({_bucket_sql('1d')}) where window_start_ns >= {FROM_NS} and window_start_ns < {TO_NS}")
+_on_spans("rollup_bucket", lambda sp: rollups.present(rollups.bucket(rollups.partials(sp), "1h", FROM_NS, "model-1")), f"select * from ({_bucket_sql('1h')}) where window_start_ns = {FROM_NS} and model = 'model-1'")
+_on_spans("rollup_evicted", lambda sp: rollups.present(rollups.evict(rollups.partials(sp, "1d"), FROM_NS + 1)), f"select * from ({_bucket_sql('1d')}) where window_start_ns >= {FROM_NS + 1}")
+
+
+def _twice(sp: DataFrame) -> DataFrame:
+    """Every third span written again, every seventh deleted."""
+    again = sp.filter("cast(substring(span_id, 2) as bigint) % 3 = 0")
+    gone = sp.filter("cast(substring(span_id, 2) as bigint) % 7 = 0")
+    return sp.withColumn("_deleted", F.lit(False)).unionByName(again.withColumn("_deleted", F.lit(False))).unionByName(gone.withColumn("_deleted", F.lit(True)))
+
+
+_on_spans("rollup_counts_duplicates", lambda sp: rollups.rollup(_twice(sp), "1d"), f", twice as (select * from sp union all select * from sp where cast(substr(span_id, 2) as bigint) % 3 = 0) {_bucket_sql('1d', 'twice')}")
+_on_spans("latency_percentiles", lambda sp: aggregates.percentiles(sp, "team", (0.5,), RANGE, 1_000_000).select("team", F.col("latency_ms")[0].alias("p50")), f"select team, quantile_disc(latency_ms, 0.5) p50 from sp where {IN_RANGE} group by 1")
+_on_spans("rollup_by_root", lambda sp: rollups.by_root(sp, "1d", RANGE), f""", roots as (select trace_id, arg_min(team, (start_ns, span_id)) root_team, arg_min(model, (start_ns, span_id)) root_model from sp group by 1)
+  select start_ns - start_ns % 86400000000000 window_start_ns, root_team, root_model, count(*) spans, sum(round(cost_usd * 1e6)::bigint)::bigint / 1e6 cost_usd
+  from sp join roots using (trace_id) where start_ns - start_ns % 86400000000000 >= {FROM_NS} and start_ns - start_ns % 86400000000000 < {TO_NS} group by 1, 2, 3""")
+
+# -- live spans: base and log
+
+_LAST = f"select * from (select *, row_number() over (partition by {', '.join(KEY)} order by {', '.join(f'{c} desc' for c in SEQUENCE)}) r from lineitem) where r = 1 and l_returnflag <> 'R'"
+_LIVE = [*KEY, "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = lineitem_log(spark, sf_dir)
+    old, new = log.filter(F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz")), log.filter(F.col("l_shipdate") >= F.lit(SPLIT).cast("timestamp_ntz"))
+    base = live.resolve(None, old, key=KEY, order=SEQUENCE)
+    return live.resolve(base, new, key=KEY, order=SEQUENCE)
+
+
+_add("live_spans", lambda s, d: _live(s, d).select(*_LIVE), f"select {', '.join(_LIVE)} from ({_LAST})")
+_add("live_filtered", lambda s, d: _live(s, d).filter("l_extendedprice between 20000 and 30000").select(*_LIVE), f"select {', '.join(_LIVE)} from ({_LAST}) where l_extendedprice between 20000 and 30000")
+_add("compacted", lambda s, d: live.resolve(None, lineitem_log(s, d), key=KEY, order=SEQUENCE).groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("part")).agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity")), f"select strftime(l_shipdate, '%Y-%m') part, count(*) \"rows\", sum(l_quantity) quantity from ({_LAST}) group by 1")
+
+
+def _written(sp: DataFrame, changes: DataFrame) -> DataFrame:
+    """Live spans after ``changes`` (rows with _deleted, _batch) to a base of all spans."""
+    return live.resolve(sp.select(*COLUMNS), changes.withColumn("_index", F.monotonically_increasing_id()).select(*COLUMNS, "_deleted", "_batch", "_index"))
+
+
+def _deleted(sp: DataFrame, where: str, batch: int = 1) -> DataFrame:
+    return sp.filter(where).withColumns({"_deleted": F.lit(True), "_batch": F.lit(batch)})
+
+
+_on_spans("live_after_delete_span", lambda sp: _written(sp, _deleted(sp, "trace_id = 't8' and span_id = 's0'")), f"select {SHOWN} from sp where not (trace_id = 't8' and span_id = 's0')")
+_on_spans("live_after_delete_trace", lambda sp: _written(sp, _deleted(sp, "trace_id = 't8'")), f"select {SHOWN} from sp where trace_id <> 't8'")
+_on_spans("live_after_reinsert", lambda sp: _written(sp, _deleted(sp, "team = 'team-3'").unionByName(sp.filter("team = 'team-3' and tool = 'view'").withColumns({"model": F.lit("model-new"), "_deleted": F.lit(False), "_batch": F.lit(2)}))), f"select {SHOWN.replace('model,', 'case when team = ' + chr(39) + 'team-3' + chr(39) + ' then ' + chr(39) + 'model-new' + chr(39) + ' else model end model,')} from sp where team <> 'team-3' or tool = 'view'")
+_on_spans("expired", lambda sp: _whole_days(sp), f"select {SHOWN} from sp where start_ns // 86400000000000 in (select start_ns // 86400000000000 from sp group by 1 having max(start_ns) >= {FROM_NS + 43_200_000_000_000})")
+
+
+def _whole_days(sp: DataFrame) -> DataFrame:
+    """Retention drops a day only once its newest span is before the cutoff."""
+    cutoff = FROM_NS + 43_200_000_000_000
+    days = sp.groupBy(F.expr("start_ns div 86400000000000").alias("d")).agg(F.max("start_ns").alias("high")).filter(F.col("high") >= cutoff)
+    return sp.withColumn("d", F.expr("start_ns div 86400000000000")).join(days, "d", "left_semi").select(*COLUMNS)
+
+
+# -- validation
+
+_BREAKS = {
+    1: ("trace_id", "''", "TraceID", "must not be empty"),
+    2: ("span_id", "''", "SpanID", "must not be empty"),
+    3: ("model", "repeat('é', 129)", "Model", "longer than 256 bytes"),
+    4: ("start_ns", "946684799999999999", "Start", "must be between years 2000 and 2100"),
+    5: ("latency_ms", "-1", "Duration", "must not be negative"),
+    6: ("tokens_in", "-1", "Tokens", "must not be negative"),
+    7: ("cost_usd", "-0.01", "CostUSD", "must be a finite, non-negative number"),
+    8: ("payload", "'{nope'", "Payload", "must be valid JSON"),
+    9: ("cost_usd", "cast('NaN' as double)", "CostUSD", "must be a finite, non-negative number"),
+}
+
+
+def _broken(sp: DataFrame) -> DataFrame:
+    """Each ninth of most spans breaks one rule."""
+    n = F.expr("cast(substring(span_id, 2) as bigint)")
+    made = {c: F.col(c) for c in sp.columns}
+    for k, (column, value, *_) in _BREAKS.items():
+        made[column] = F.when(n % 13 == k, F.expr(value)).otherwise(made[column])
+    return validate(fill(sp.select(n.alias("index"), *(v.alias(c) for c, v in made.items()))))
+
+
+_on_spans("validate_accepted", lambda sp: split(_broken(sp))[0].select("index", "trace_id", "start_ns"), "select cast(substr(span_id, 2) as bigint) \"index\", trace_id, start_ns from sp where cast(substr(span_id, 2) as bigint) % 13 not between 1 and 9")
+_on_spans(
+    "validate_rejections",
+    lambda sp: split(_broken(sp))[1].select("index", "error.field", "error.reason"),
+    "select i \"index\", " + " ".join(["case i % 13", *(f"when {k} then '{f}'" for k, (_, _, f, _) in _BREAKS.items())]) + " end field, " + " ".join(["case i % 13", *(f"when {k} then '{r}'" for k, (_, _, _, r) in _BREAKS.items())]) + " end reason from (select cast(substr(span_id, 2) as bigint) i from sp) where i % 13 between 1 and 9",
+)
+
+# -- OTLP
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request a user, its events as spans; some have an empty trace id or a start that is no number."""
+    e = read(spark, sf_dir, "events").withColumn("start", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") * 1000)
+    trace = F.when(F.col("event_id") % 10 == 7, "").otherwise(F.concat(F.lit("t"), F.col("user_id")))
+    start = F.when(F.col("event_id") % 10 == 3, "not-a-number").otherwise(F.col("start").cast("string"))
+    end = F.col("start") + (F.col("event_id") % 1000) * 1_000_000 + 999_999
+    body = F.concat(
+        F.lit('{"traceId":"'), trace, F.lit('","spanId":"'), F.concat(F.lit("s"), F.col("event_id")), F.lit('","name":"'), F.col("event_type"), F.lit('","startTimeUnixNano":"'), start,
+        F.lit('","endTimeUnixNano":'), end.cast("string"), F.lit(',"unknown":[1],"attributes":[{"key":"gen_ai.request.model","value":{"stringValue":"model-'), (F.col("user_id") % 5).cast("string"),
+        F.lit('"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"'), (F.col("event_id") % 500).cast("string"), F.lit('"}},{"key":"gen_ai.usage.completion_tokens","value":{"intValue":'), (F.col("event_id") % 100).cast("string"),
+        F.lit('}},{"key":"gen_ai.agent.name","value":{"stringValue":"agent-'), (F.col("user_id") % 11).cast("string"), F.lit('"}}],"status":{"code":'), F.when(F.col("event_type") == "error", "2").otherwise("1"), F.lit("}}"),
+    )
+    listed = e.withColumn("body", body).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "body"))).alias("all"))
+    head = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.namespace","value":{"stringValue":"team-'), (F.col("user_id") % 7).cast("string"), F.lit('"}}]},"scopeSpans":[{"spans":['))
+    return listed.select("user_id", F.concat(head, F.array_join("all.body", ","), F.lit("]}]}]}")).alias("body"))
+
+
+_OTLP = f"""with e as (select *, epoch_us(ts) * 1000 start, row_number() over (partition by user_id order by event_id) - 1 i from events)
+"""
+_add(
+    "otlp_spans",
+    lambda s, d: split(otlp.spans_of(_requests(s, d)))[0].select("user_id", "index", "trace_id", "span_id", "start_ns", "latency_ms", "agent", "model", "team", "status", "tokens_in", "tokens_out", "payload"),
+    _OTLP + """select user_id, i "index", 't' || user_id trace_id, 's' || event_id span_id, start start_ns, event_id % 1000 latency_ms, 'agent-' || (user_id % 11) agent, 'model-' || (user_id % 5) model,
+      'team-' || (user_id % 7) team, case when event_type = 'error' then 'error' else 'ok' end status, (event_id % 500)::int tokens_in, (event_id % 100)::int tokens_out, '{"name":"' || event_type || '"}' payload
+      from e where event_id % 10 not in (3, 7)""",
+)
+_add(
+    "otlp_rejections",
+    lambda s, d: split(otlp.spans_of(_requests(s, d)))[1].select("user_id", "index", "error.field", "error.reason"),
+    _OTLP + """select user_id, i "index", case event_id % 10 when 3 then 'startTimeUnixNano' else 'TraceID' end field, case event_id % 10 when 3 then 'is not an integer' else 'must not be empty' end reason
+      from e where event_id % 10 in (3, 7)""",
+)
+
+# -- integrity
+
+
+def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the log with more than one row, and base rows that a later write supersedes."""
+    log = lineitem_log(spark, sf_dir)
+    counted = log.groupBy(*KEY).agg(F.count("*").alias("n"))
+    return counted.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.sum(F.col("n") - 1).alias("superseded_rows"))
+
+
+_add("integrity_report", _integrity, f"select count(*) \"keys\", count(*) filter (n > 1) repeated_keys, sum(n - 1)::bigint superseded_rows from (select {', '.join(KEY)}, count(*) n from lineitem group by all)")
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
