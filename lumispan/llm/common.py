@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +62,26 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (one column, materialised); rows with a null id stay."""
     return docs.join(broadcast_if_small(ids.withColumnRenamed(ids.columns[0], id_col)), id_col, "left_anti").select(*docs.columns)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later tasks, beside other ones."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(function):
+    """A generator over batches that calls ``release`` when its task is done."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run

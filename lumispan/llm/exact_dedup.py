@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, checkpoint, small_batches, without_ids
+from .common import SPACE_BYTES, checkpoint, releasing, small_batches, without_ids
 
 #: Bytes of strings and nodes that a trie holds in memory.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 64 << 20
 NODE_BYTES = 250
 
 
@@ -158,7 +158,7 @@ class PatriciaTrie:
                 yield path + rest, *owned
 
 
-def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     schema = pa.schema(list(zip(names, types)))
     for row in rows:
@@ -176,6 +176,7 @@ def owners(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limi
     small_batches(docs.sparkSession)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
+    @releasing
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             trie = PatriciaTrie(spill=False)
@@ -194,6 +195,7 @@ def owners(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limi
 
         yield from _batches(rows(), ["n_bytes", "hash", "key", "digest", "n", "id", "rows"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])
 
+    @releasing
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(limit)
         for batch in batches:
@@ -218,6 +220,7 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     shared = owners(docs, text_col, id_col, limit).filter("group_size > 1").withColumnRenamed("n_bytes", "bytes").withColumnRenamed("digest", "of")
 
+    @releasing
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [normalise(x) for x in batch.column(1).to_pylist()]

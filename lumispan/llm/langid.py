@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, releasing, small_batches
 
 UNKNOWN = "und"
 ORDERS = 3
@@ -140,6 +141,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     sample = labelled.join(F.broadcast(rates), "lang").filter(uniform(F.col("id"), seed) < F.col("rate")).select("lang", "text")
     index = {k: i for i, k in enumerate(languages)}
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(index), (1 << bits) + 1), np.int64)
         for batch in batches:
@@ -189,11 +191,13 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     shared = spark.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob))
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(texts):
-        import pandas as pd
-
-        labels, score = score_texts(LanguageModel(*shared.value), [None if x is None else str(x) for x in texts])
-        return pd.DataFrame({"lang_pred": labels, "score": score})
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                labels, score = score_texts(LanguageModel(*shared.value), [None if x is None else str(x) for x in texts])
+                yield pd.DataFrame({"lang_pred": labels, "score": score})
+        finally:
+            release()
 
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     judged = docs.withColumn("_judged", judge(F.col(text_col).cast("string")))

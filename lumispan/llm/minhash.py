@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, small_batches, without_ids
+from .common import broadcast_if_small, checkpoint, releasing, small_batches, without_ids
 from .components import components
 
 WORDS = 5
@@ -160,6 +160,7 @@ def _binary(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n (set size), f1, f2 (fingerprint of the whole set), labels, sketch (empty for an empty set)."""
 
+    @releasing
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -233,6 +234,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = forest.repartitionByRange(parts, "tree", "label", "n", "rep").sortWithinPartitions("tree", "label", "n", "rep").select("tree", "label", "n", "rep", "sketch")
 
+    @releasing
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -264,6 +266,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> Da
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     raw = _binary(docs, text_col, id_col).join(broadcast_if_small(ids), "id", "left_semi")
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -274,6 +277,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> Da
     # repeated rows of one id meet before the joins
     full = raw.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
+    @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []

@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 MARK = "▁"
-CHUNK_BYTES = 96 << 20
+CHUNK_BYTES = 64 << 20
 #: Characters of texts that are cut at once.
 CALL_CHARS = 1 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -34,7 +37,6 @@ class ChunkCodec:
     """Encodes and decodes by chunks; raises ValueError for a model whose pieces or rules don't allow it."""
 
     def __init__(self, model_path: str, limit: int = CHUNK_BYTES):
-        import numpy as np
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -58,8 +60,6 @@ class ChunkCodec:
 
         Each of those opens with the only piece of it that has a marker, so ids fall apart there, and decoded text at spaces.
         """
-        import numpy as np
-
         plain = [c for c in new if MARK not in c[1:2] and len(c) > 1 and " " not in c]
         if plain:
             # the library adds the first marker itself, and takes spaces for markers
@@ -109,23 +109,29 @@ class ChunkCodec:
 
 
 def codec(model_path: str) -> ChunkCodec:
-    """One table for each model in each worker."""
+    """One codec for each model in each worker."""
     if model_path not in _codecs:
         _codecs[model_path] = ChunkCodec(model_path)
     return _codecs[model_path]
 
 
+def _forget(model_path: str) -> None:
+    """Empty the table when a task is done."""
+    codec(model_path)._forget()
+    release()
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with an array of ids for each whole text, end id included."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
-        import numpy as np
-        import pandas as pd
-
-        table = codec(model_path)
-        return pd.Series([np.array(ids.split(), np.int32) for ids, _ in table.digest([t or "" for t in texts])])
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([np.array(ids.split(), np.int32) for ids, _ in codec(model_path).digest([t or "" for t in texts])])
+        finally:
+            _forget(model_path)
 
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != ids_col), ids(F.col(text_col).cast("string")).alias(ids_col))
 
@@ -135,9 +141,7 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "token_ids", text_co
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def text(ids):
-        import pandas as pd
-
+    def text(ids: pd.Series) -> pd.Series:
         library = codec(model_path).library
         return pd.Series([library.decode([] if x is None else [int(i) for i in x]) for x in ids])
 
@@ -149,12 +153,13 @@ def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> Data
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(texts):
-        import pandas as pd
-
-        table = codec(model_path)
-        rows = [(ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in table.digest([t or "" for t in texts])]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                rows = [(ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in codec(model_path).digest([t or "" for t in texts])]
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            _forget(model_path)
 
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
     out = docs.withColumn("_digests", digests(F.col(text_col).cast("string")))

@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, small_batches
+from .common import broadcast_if_small, checkpoint, release, small_batches
 
 SIGNALS = ("symbols", "dup_lines", "repeats", "upper", "bars")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -68,11 +70,13 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(", ".join([*(f"{c} long" for c in COUNTS), *(f"{s} double" for s in SIGNALS)]))
-    def measured(texts):
-        import pandas as pd
-
-        rows = [measure(b"" if t is None else bytes(t)) for t in texts]
-        return pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate((*COUNTS, *SIGNALS))}).astype({c: "int64" for c in COUNTS} | {s: "float64" for s in SIGNALS})
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                rows = [measure(b"" if t is None else bytes(t)) for t in texts]
+                yield pd.DataFrame({c: [r[i] for r in rows] for i, c in enumerate((*COUNTS, *SIGNALS))}).astype({c: "int64" for c in COUNTS} | {s: "float64" for s in SIGNALS})
+        finally:
+            release()
 
     made = {c.lower() for c in (*COUNTS, *SIGNALS)}
     out = docs.withColumn("_measured", measured(F.col(text_col).cast("string").cast("binary")))
@@ -133,8 +137,6 @@ def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_co
     level, each = delta / max(1, len(SIGNALS) * strata), alpha / len(SIGNALS)
 
     def choose(key, rows):
-        import pandas as pd
-
         found = {}
         for s in SIGNALS:
             lists = {(h, g): [0] * (BINS + 1) for h in (False, True) for g in (False, True)}
