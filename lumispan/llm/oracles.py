@@ -32,17 +32,19 @@ with recursive p as (select page_id, url, html, {query("url")} qurl,
   case when contains(url, '://') then translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {AZ}) else '' end host,
   case when contains(url, '://') then regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path from pages),
 q as (select *, {key("url")} k, case {" ".join(fits)} end rule from p),
-t as (select k, host, unnest([
+t as (select url, k, host, unnest([
   regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["''\s][^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
   regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) x from q where k is not null),
-a as (select k, case when contains(x, '://') then x when starts_with(x, '//') then 'http:' || x when starts_with(x, '/') then 'http://' || host || x end z from t where x <> ''),
-z as (select k, z, {query("z")} qz from a),
-e as (select k a, {key("z")} b from z),
+a as (select url, k, case when contains(x, '://') then x when starts_with(x, '//') then 'http:' || x when starts_with(x, '/') then 'http://' || host || x end z from t where x <> ''),
+z as (select k, z, {query("z")} qz, case when contains(z, '://') then translate(regexp_extract(z, '^.*?://([^/?#]*)', 1, 's'), {AZ}) else '' end host,
+  case when contains(z, '://') then regexp_extract(z, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path from a),
+e as (select k a, {key("z")} b, case {" ".join(fits)} end rule from z),
 s as (select a, b from e where b is not null and a <> b union select b, a from e where b is not null and a <> b),
 r(node, c) as (select a, a from s union select s.b, r.c from r join s on r.node = s.a),
 g as (select node, min(c) c from r group by node),
 o as (select q.*, coalesce(g.c, q.k) comp, case when rule is null then null when rule in ({allow}) then 'allow' else 'block' end act from q left join g on q.k = g.node),
-f as (select comp, bool_or(act = 'allow') ok from o where act is not null and comp is not null group by comp)
+d as (select comp, rule from o union all select coalesce(g.c, e.b), e.rule from e left join g on e.b = g.node),
+f as (select comp, bool_or(rule in ({allow})) ok from d where rule is not null and comp is not null group by comp)
 select page_id, host, path, rule, coalesce(act, case when coalesce(ok, true) then 'allow' else 'block' end) verdict from o left join f using (comp)
 """
 

@@ -61,30 +61,37 @@ def absolute(target: Column, host: Column) -> Column:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str | None = "html", id_col: str = "page_id", redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. ``redirects``: optional (source, target) urls."""
     url = F.col(url_col)
-    base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("key"), *([F.col(html_col).alias("html")] if html_col else []))
-    edges = []
+    base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("key"), *([F.col(html_col).alias("html")] if html_col else []))
+    allow = [r for action, r in rules if action == "allow"]
+    rule_of = lambda url: fitting_rule(host_of(url), path_of(url), rules)
+    action_of = lambda rule: F.when(rule.isNull(), None).when(rule.isin(allow), "allow").otherwise("block")
+    links = []
     if html_col:
         canonical = F.when(F.col("html").contains("anonical") | F.col("html").contains("ANONICAL"), F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1))
         refresh = F.when(F.col("html").contains("efresh") | F.col("html").contains("EFRESH"), F.regexp_extract("html", REFRESH, 1))
-        linked = base.filter(F.col("key").isNotNull()).select("key", "host", F.explode(F.array(canonical, refresh)).alias("target")).filter("target != ''")
-        edges.append(linked.select(F.col("key").alias("a"), alias_key(absolute(F.col("target"), F.col("host"))).alias("b")))
+        linked = base.filter(F.col("key").isNotNull()).select("url", "host", F.explode(F.array(canonical, refresh)).alias("target")).filter("target != ''")
+        links.append(linked.select("url", absolute(F.col("target"), F.col("host")).alias("target")))
     if redirects is not None:
         source, target = redirects.columns[:2]
-        edges.append(redirects.select(alias_key(F.col(source)).alias("a"), alias_key(F.col(target)).alias("b")))
+        links.append(redirects.select(F.col(source).alias("url"), F.col(target).alias("target")))
     own = base.select("page_id", "host", "path", "key", fitting_rule(F.col("host"), F.col("path"), rules).alias("rule"))
-    allow = [r for action, r in rules if action == "allow"]
-    action = F.when(F.col("rule").isNull(), None).when(F.col("rule").isin(allow), "allow").otherwise("block")
-    own = own.withColumn("action", action)
-    if edges:
-        links = edges[0]
-        for more in edges[1:]:
-            links = links.unionByName(more)
-        groups = checkpoint(components(links.filter("a is not null and b is not null")).withColumnRenamed("node", "key"))
+    own = own.withColumn("action", action_of(F.col("rule")))
+    decisions = own.select("key", "action")
+    if links:
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        ends = found.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b"), F.array("url", "target").alias("ends")).filter("a is not null and b is not null")
+        groups = checkpoint(components(ends).withColumnRenamed("node", "key"))
+        # rules also decide on urls that are only linked, without a page
+        linked = ends.select(F.explode("ends").alias("url")).select(alias_key(F.col("url")).alias("key"), action_of(rule_of(F.col("url"))).alias("action"))
+        decisions = decisions.unionByName(linked).join(groups, "key", "left")
         own = own.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
     else:
+        decisions = decisions.withColumn("component", F.col("key"))
         own = own.withColumn("component", F.col("key"))
     # two flags a component, summed up before they travel
-    decided = own.filter("action is not null and component is not null").groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
+    decided = decisions.filter("action is not null and key is not null").groupBy(F.coalesce("component", "key").alias("component")).agg(F.max(F.col("action") == "allow").alias("allowed"))
     return own.join(decided, "component", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("action", F.when(F.coalesce("allowed", F.lit(True)), "allow").otherwise("block")).alias("verdict")
     )
