@@ -1,8 +1,8 @@
 """Connected components as alternating large-star and small-star rounds (Kiveris et al., 2014), in DataFrame operations.
 
-Each round hooks neighbours to the smallest known node. Minima are pre-aggregated, and hot nodes
-meet their edges in plain equi-joins, which adaptive execution splits. Every round is checkpointed
-in the shared folder.
+Each round hooks neighbours to the smallest known node. Minima are pre-aggregated and materialised,
+so that hot nodes meet their edges in plain equi-joins, which adaptive execution splits. Every round
+is checkpointed in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if before[0] == 0:
             break
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m"))
+        least = checkpoint(both.groupBy("x").agg(F.min("y").alias("m")))
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         e = checkpoint(small.distinct())
         after = _state(e)

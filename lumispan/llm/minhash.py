@@ -5,10 +5,12 @@ each of TREES sorted orders, the representatives are range-partitioned and sorte
 min-hash values, so rows with the longest common prefixes are neighbours. The depth adapts to the
 region: where at most REGION rows share a prefix, all of them are candidates of each other, however
 short the prefix; a larger region is left to its longer prefixes, and there each row meets its
-direct neighbour and the region's hub, the row closest to the region's most common min-hash values
-(in a cluster of altered copies, the original). So candidates grow with the rows, never with the
-square of a group. Candidates must agree in a 64-sample sketch (five standard deviations below the
-threshold) and in size.
+direct neighbour (in every other order) and the region's one or two hubs, the rows closest to the region's most common min-hash values
+(in a cluster of altered copies, the original; of tied rows, each order takes the next ones). So candidates
+grow with the rows, never with the square of a group. Candidates must agree in a 64-sample sketch
+(five standard deviations below the threshold) and in size. Rows whose candidates all failed then
+meet the hubs once more, in a second, smaller forest of just those rows and all hubs: there a group
+that was spread over many partitions lies close together.
 
 Links are confirmed on full shingle sets, first each row's best partner, then, once components of
 those are known, only pairs that still lie in different components. Components are computed in
@@ -39,10 +41,16 @@ WORDS = 5
 TREES, DEPTH = 16, 4
 SAMPLES = TREES * DEPTH
 REGION = 16
+#: Hubs of a region by sorted order: in the first forest, which holds all rows, and in the second.
+HUBS, MORE_HUBS = (2, 1), (1, 1)
+#: A region inside another one takes hubs of its own if it is smaller by this factor.
+NESTED = 4
 #: Equal 4-bit samples of 64 that a candidate needs; similarity 0.75 gives 49 on average, standard deviation 3.4.
 AGREE = 33
 SLICE = 1 << 20
 CHUNK_ROWS = 1 << 19
+#: Rows of one partition of the forest; few boundaries cut few regions.
+PARTITION_ROWS = 300_000
 
 _U64 = np.uint64
 
@@ -189,8 +197,8 @@ def _agreement(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return _EQUAL_NIBBLES[sketch[i] ^ sketch[j]].sum(axis=1, dtype=np.int32)
 
 
-def neighbours(tree: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate rows (i, j) and their agreement, of rows sorted by tree and label."""
+def neighbours(tree: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, hubs: tuple[int, int] = HUBS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate rows (i, j), their agreement, and whether i is a hub, of rows sorted by tree and label."""
     runs = [_runs(tree, label, d) for d in range(1, DEPTH + 1)]
     pairs = []
     for step in range(1, min(REGION, len(label))):
@@ -199,39 +207,45 @@ def neighbours(tree: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.nd
         near = np.zeros(len(i), bool)
         for d in range(DEPTH, 0, -1):
             shared = differ >> _U64(16 * (DEPTH - d)) == 0
-            near |= shared if step == 1 else shared & (runs[d - 1][1][:-step] <= REGION)
+            # in a large region, direct neighbours in every other order
+            near |= shared & ((runs[d - 1][1][:-step] <= REGION) | ((step == 1) & (tree[:-step] % 2 == 0)))
         near &= tree[:-step] == tree[step:]
         i = i[near]
         if len(i):
-            pairs.append((i, i + step))
-    seen = set()
+            pairs.append((i, i + step, np.zeros(len(i), bool)))
+    hosts = np.full(len(label), NESTED * len(label))  # size of the last region around each row that chose hubs
     for first, length in runs:
         for a in first[length[first] > REGION].tolist():
             b = a + int(length[a])
-            if (a, b) in seen:
-                continue
-            seen.add((a, b))
+            if NESTED * (b - a) > hosts[a]:
+                continue  # the hubs of the region around it have met all these rows
+            hosts[a:b] = b - a
             part = sketch[a:b]
             nibbles = np.stack((part & 15, part >> 4), axis=2).reshape(b - a, SAMPLES).astype(np.int32)
             counts = np.bincount((nibbles + 16 * np.arange(SAMPLES, dtype=np.int32)).ravel(), minlength=16 * SAMPLES).reshape(SAMPLES, 16)
-            hub = a + int((nibbles == counts.argmax(axis=1)).sum(axis=1).argmax())
+            central = (nibbles == counts.argmax(axis=1)).sum(axis=1)
+            order = np.argsort(-central, kind="stable")
+            tied = int((central == central[order[0]]).sum())
+            # tied rows have equal labels, so they meet again in every order: take turns
+            t, many = int(tree[a]), hubs[int(tree[a]) % 2]
+            turn = (t // 2 * sum(hubs) + t % 2 * hubs[0]) % tied
+            order = np.concatenate((np.roll(order[:tied], -turn), order[tied:]))
             rows = np.arange(a, b)
-            pairs.append((np.full(b - a, hub), rows))
+            pairs += [(np.full(b - a, a + k), rows, np.ones(b - a, bool)) for k in order[:many].tolist()]
     if not pairs:
-        return (np.zeros(0, np.int64),) * 3
-    i, j = (np.concatenate(x) for x in zip(*pairs))
+        return (np.zeros(0, np.int64),) * 4
+    i, j, hub = (np.concatenate(x) for x in zip(*pairs))
     fits = (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (i != j)
-    i, j = i[fits], j[fits]
+    i, j, hub = i[fits], j[fits], hub[fits]
     agree = np.concatenate([np.zeros(0, np.int32), *(_agreement(sketch, i[k : k + 200_000], j[k : k + 200_000]) for k in range(0, len(i), 200_000))])
     ok = agree >= AGREE
-    return i[ok], j[ok], agree[ok]
+    return i[ok], j[ok], agree[ok], hub[ok]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, agree) with a < b, from (rep, n, labels, sketch) of distinct sets."""
-    spark = reps.sparkSession
+def candidates(reps: DataFrame, rows: int, hubs_by_order: tuple[int, int] = HUBS) -> DataFrame:
+    """(a, b, agree, hubs) with a < b, from (rep, n, labels, sketch) of distinct sets; bits 1 and 2 of hubs: a, b was a hub."""
     forest = reps.select("rep", "n", "sketch", F.posexplode("labels").alias("tree", "label"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-rows * TREES // PARTITION_ROWS) or 1
     ordered = forest.repartitionByRange(parts, "tree", "label", "n", "rep").sortWithinPartitions("tree", "label", "n", "rep").select("tree", "label", "n", "rep", "sketch")
 
     @releasing
@@ -242,13 +256,14 @@ def candidates(reps: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(held)
             tree, label, n, rep = (t.column(k).to_numpy() for k in range(4))
             sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, SAMPLES // 2)
-            i, j, agree = neighbours(tree, label.astype(np.int64).view(np.uint64), n, sketch)
+            i, j, agree, hub = neighbours(tree, label.astype(np.int64).view(np.uint64), n, sketch, hubs_by_order)
             a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+            hubs = np.where(hub, np.where(rep[i] == a, 1, 2), 0).astype(np.int32)
             if len(a):
-                order = np.lexsort((b, a))
-                a, b, agree = a[order], b[order], agree[order]
+                order = np.lexsort((-hubs, b, a))
+                a, b, agree, hubs = a[order], b[order], agree[order], hubs[order]
                 new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) & (a != b)
-                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, agree)], ["a", "b", "agree"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, agree, hubs)], ["a", "b", "agree", "hubs"])
 
         for batch in batches:
             held.append(batch)
@@ -258,12 +273,12 @@ def candidates(reps: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return ordered.mapInArrow(scan, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return ordered.mapInArrow(scan, "a long, b long, agree int, hubs int").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.bit_or("hubs").alias("hubs"))
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """The (a, b) of ``pairs`` (materialised) whose whole shingle sets have 100 * intersection >= 75 * union."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = checkpoint(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
     raw = _binary(docs, text_col, id_col).join(broadcast_if_small(ids), "id", "left_semi")
 
     @releasing
@@ -274,8 +289,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "shingles"])
                 at += len(found)
 
-    # repeated rows of one id meet before the joins
-    full = raw.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    # repeated rows of one id meet before the joins; a hub with very many pairs can then be split
+    full = checkpoint(raw.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")))
 
     @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,23 +309,33 @@ def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> Da
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     coded = checkpoint(signatures(docs, text_col, id_col))
-    reps = coded.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    found = checkpoint(candidates(reps))
+    filled = coded.filter("n > 0 and id is not null")
+    reps = filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+    found = checkpoint(candidates(reps, coded.count()))
     # each row's best partner first
     both = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").unionAll(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
     best = both.groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("minus"))).alias("top")).select("x", (-F.col("top.minus")).alias("y"))
     first = checkpoint(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     grouped = checkpoint(components(confirm(docs, first, text_col, id_col)))
+    # rows whose candidates failed, and all hubs, in a smaller forest
+    ends = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).distinct()
+    hubs = found.filter("hubs & 1 = 1").select(F.col("a").alias("rep")).unionAll(found.filter("hubs & 2 = 2").select(F.col("b").alias("rep")))
+    again = checkpoint(ends.join(grouped.select(F.col("node").alias("rep")), "rep", "left_anti").unionAll(hubs).distinct())
+    n_again = again.count()
+    more = checkpoint(candidates(reps.join(broadcast_if_small(again, n_again), "rep", "left_semi"), n_again, MORE_HUBS))
+    found = found.select("a", "b").unionAll(more.select("a", "b")).distinct()
     # then pairs between different components that weren't looked at
     side = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = found.select("a", "b").join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = found.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = checkpoint(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     links = confirm(docs, rest, text_col, id_col).unionAll(grouped.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     final = checkpoint(components(links))
-    classes = reps.select("f1", "f2", "rep")
-    out = coded.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    # only sets of two or more documents need their representative looked up
+    classes = checkpoint(filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
+    out = coded.select("id", "n", "f1", "f2").join(broadcast_if_small(classes), ["f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = out.join(broadcast_if_small(final.withColumnRenamed("node", "rep")), "rep", "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
-    component = F.when(linked, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
+    component = F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
