@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules come first (too few words; mostly repeated 3-word windows). Five signals may reject
-further documents. For each stratum (language) and signal, one half of the labelled rows proposes a
-cutoff; on the other half, cutoffs are tested from the loosest to the strictest by the exact binomial
-tail, at level ``delta / (signals * strata)`` (Bonferroni over signals and strata, a fixed sequence
-within a signal, which needs no further correction). The strictest certified cutoff bounds the false
-rejections of good documents in that stratum by ``alpha`` over all signals together, with
-probability ``1 - delta`` over all strata together. Where nothing can be certified nothing is rejected.
+further documents, by one joint rule for each stratum (language): a document is rejected when any
+signal reaches its cutoff. One half of the labelled rows proposes the cutoffs; all of them, raised by
+one common number of bins, make a sequence of nested rules. The other half tests these from the
+loosest to the strictest by the exact binomial tail (a fixed sequence, which needs no correction) at
+level ``delta / groups`` (Bonferroni). The strictest certified rule bounds the false rejections of
+good documents in that stratum by ``alpha``, with probability ``1 - delta`` over all strata together.
+
+A stratum is small where a single false rejection among its good holdout rows could not be certified.
+Two or more small strata are pooled: they get one rule, and the bound holds for them taken together,
+not for each. Groups are formed from row counts only. Where nothing can be certified, as in a small
+stratum that has no other to pool with, nothing is rejected.
 
 Defined results: a null text has no words and fails the base rules; a null language is a stratum of
 its own; labels of null ids or null quality are ignored, and of several labels the lowest counts;
@@ -123,29 +128,66 @@ def choose_bin(good_tune: list[int], bad_tune: list[int], good_hold: list[int],
     return certified
 
 
+def propose(good: list[int], bad: list[int], alpha: float) -> int | None:
+    """A signal's cutoff by the tuning half's rows by bin, or None where it rejects too few bad rows.
+
+    A share ``alpha`` of the good rows weighs as much as all bad ones; of equal cutoffs the highest is taken.
+    """
+    n_good, n_bad = sum(good), sum(bad)
+    best, want, g, b = alpha, None, 0, 0
+    for at in range(BINS, 0, -1):
+        g, b = g + good[at], b + bad[at]
+        if n_good and n_bad and b / n_bad - g / (alpha * n_good) > best:
+            best, want = b / n_bad - g / (alpha * n_good), at
+    return want
+
+
+def _by_bin(rows: pd.DataFrame) -> list[int]:
+    out = [0] * (BINS + 1)
+    for at, n in zip(rows["bin"], rows["n"]):
+        out[int(at)] += int(n)
+    return out
+
+
 def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, one lowest rejected bin for each signal or null), from all labelled rows.
 
-    ``measured``: features with id and stratum. Only counts by (stratum, signal, bin) are gathered.
+    ``measured``: features with id and stratum. Only counts by (stratum, signal, bin) and by (stratum, joint bin) are gathered.
     """
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good"))
     hold = F.pmod(F.xxhash64(F.lit(29), F.col("_id")), F.lit(2)) == 1
-    passed = measured.filter(~base_failed()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum"), *SIGNALS)
-    joined = passed.join(marks, "_id").select("stratum", hold.alias("hold"), (F.col("_good") > 0).alias("good"), F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), _bin(s).alias("bin")) for s in SIGNALS))).alias("x"))
-    counts = checkpoint(joined.groupBy("stratum", "x.signal", "x.bin", "hold", "good").agg(F.count("*").alias("n")))
-    strata = counts.select("stratum").distinct().count()
-    level, each = delta / max(1, len(SIGNALS) * strata), alpha / len(SIGNALS)
+    passed = measured.filter(~base_failed()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum"), *(_bin(s).alias(s) for s in SIGNALS))
+    marked = checkpoint(passed.join(marks, "_id").select("stratum", hold.alias("hold"), (F.col("_good") > 0).alias("good"), *SIGNALS))
+    sizes = checkpoint(marked.groupBy("stratum").agg(F.count_if(F.col("hold") & F.col("good")).alias("n")))
+    strata = max(1, sizes.count())
+    # P(X <= 1) for X ~ Binomial(n, alpha)
+    small = F.pow(F.lit(1 - alpha), F.col("n") - 1) * (1 + (F.col("n") - 1) * alpha) > delta / strata
+    n_small = sizes.filter(small).count()
+    pooled = n_small > 1
+    level = delta / (strata - n_small + 1 if pooled else strata)
+    in_pool = small & F.lit(pooled)
+    groups = checkpoint(sizes.filter(F.lit(pooled) | ~small).select("stratum", F.struct(in_pool.alias("pool"), F.when(in_pool, "").otherwise(F.col("stratum")).alias("name")).alias("group")))
+    marked = marked.join(broadcast_if_small(groups), "stratum")
+    tuning = marked.filter("not hold").select("group", "good", F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("bin")) for s in SIGNALS))).alias("x"))
+
+    def proposed(key, rows):
+        found = {f"w_{s}": propose(*(_by_bin(rows[(rows["signal"] == s) & (rows["good"] == g)]) for g in (True, False)), alpha) for s in SIGNALS}
+        return pd.DataFrame([{"pool": key[0]["pool"], "name": key[0]["name"]} | found]).astype({f"w_{s}": "Int32" for s in SIGNALS})
+
+    counts = tuning.groupBy("group", "x.signal", "x.bin", "good").agg(F.count("*").alias("n"))
+    wanted = checkpoint(counts.groupBy("group").applyInPandas(proposed, "pool boolean, name string, " + ", ".join(f"w_{s} int" for s in SIGNALS)).select(F.struct("pool", "name").alias("group"), *(f"w_{s}" for s in SIGNALS)))
+    # a row's joint bin: how far its furthest signal goes beyond the proposed cutoff, 1 at the cutoff, 0 below
+    joint = F.greatest(F.lit(0), *(F.col(s) - F.col(f"w_{s}") + 1 for s in SIGNALS))
+    scored = marked.join(broadcast_if_small(wanted), "group").groupBy("group", joint.alias("bin"), "hold", "good").agg(F.count("*").alias("n"))
 
     def choose(key, rows):
-        found = {}
-        for s in SIGNALS:
-            lists = {(h, g): [0] * (BINS + 1) for h in (False, True) for g in (False, True)}
-            for r in rows[rows["signal"] == s].itertuples():
-                lists[bool(r.hold), bool(r.good)][r.bin] += int(r.n)
-            found[f"b_{s}"] = choose_bin(lists[False, True], lists[False, False], lists[True, True], each, level)
-        return pd.DataFrame([{"stratum": key[0]} | found]).astype({f"b_{s}": "Int32" for s in SIGNALS})
-
-    return checkpoint(counts.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"b_{s} int" for s in SIGNALS)))
+        part = lambda h, g: _by_bin(rows[(rows["hold"] == h) & (rows["good"] == g)])
+        at = choose_bin(part(False, True), part(False, False), part(True, True), alpha, level)
+        return pd.DataFrame([{"pool": key[0]["pool"], "name": key[0]["name"], "at": at}]).astype({"at": "Int32"})
+
+    chosen = scored.groupBy("group").applyInPandas(choose, "pool boolean, name string, at int").select(F.struct("pool", "name").alias("group"), "at")
+    rules = checkpoint(chosen.join(wanted, "group").select("group", *((F.col(f"w_{s}") + F.col("at") - 1).alias(f"b_{s}") for s in SIGNALS)))
+    return checkpoint(sizes.select("stratum").join(groups.join(rules, "group"), "stratum", "left").select("stratum", *(F.when(F.col(f"b_{s}") <= BINS, F.col(f"b_{s}")).alias(f"b_{s}") for s in SIGNALS)))
 
 
 def _bin(signal: str):

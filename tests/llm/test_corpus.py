@@ -247,6 +247,25 @@ def test_quality_thresholds(spark):
     assert quality.judge(quality.features(spark.createDataFrame([], DOCS)), cutoffs).count() == 0
 
 
+def test_quality_certifies_with_production_parameters(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, labels = [], []
+    for lang, good, bad in (("en", 1900, 160), ("de", 460, 50), ("es", 300, 30)):
+        for k in range(good + bad):
+            spoilt = k >= good
+            rows.append((len(rows), words(60) + (rng.choice([" #####" * 12, "\nsame line here" * 20]) if spoilt else ""), lang, "s", 1))
+            labels.append((rows[-1][0], 0 if spoilt else 1))
+    measured = quality.features(spark.createDataFrame(rows, DOCS))
+    cutoffs = quality.fit(measured, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rules = {r["stratum"]: r[1:] for r in cutoffs.collect()}
+    assert rules["de"] == rules["es"] and all(any(b is not None for b in r) for r in rules.values())  # small strata are pooled
+    out = quality.judge(measured, cutoffs).toPandas().merge(pd.DataFrame(labels, columns=["doc_id", "quality"]), on="doc_id")
+    passed = out[~out["base_failed"]]
+    for _, part in passed.groupby("lang"):
+        assert part[part["quality"] == 1]["kept"].mean() >= 0.98 and part[part["quality"] == 0]["kept"].mean() < 0.1
+
+
 # -- 5 sharding
 
 
