@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into units twice, at line ends and at sentence ends (so that wrapped lines do no
-harm). Units are normalised to lower-case words of a-z and 0-9 and looked up in the table of known
+A text is cut into units at line ends and at sentence ends (so that wrapped lines do no harm), and at
+sentence ends once more without the comment marks in front of its lines, so that a blank comment line
+ends a sentence too. A known sentence that the cut itself takes apart, as at a colon, is put together
+again from its parts. Units are normalised to lower-case words of a-z and 0-9 and looked up in the table of known
 licence sentences. A rule is an ordered sequence of sentence identifiers; it fires when its
 identifiers occur in that order among those found, other known sentences may stand between.
 A text without any of the trigger words, one of which is in every known sentence, has no known
@@ -65,6 +67,8 @@ RULES = (
 )
 TRIGGERS = ("licen", "permission", "redistribut", "warrant", "free software")
 SENTENCE_END = r"(?<=[.;:!?])\s+|\n[ \t]*\n"
+#: Comment marks in front of a line.
+COMMENT = r"(?m)^[ \t]*(?:#+|//[/!]*|/\*+!?|\*+/?|--+|;+|%+|<!--+)[ \t]*"
 
 
 def normalise(text: str) -> str:
@@ -81,6 +85,23 @@ def known(sentences: dict[str, str] = SENTENCES, triggers: tuple[str, ...] = TRI
     return out
 
 
+def taken_apart(sentences: dict[str, str] = SENTENCES) -> list[tuple[str, ...]]:
+    """The normalised parts of each sentence that SENTENCE_END cuts, those of most parts first."""
+    cut = [tuple(u for u in map(normalise, re.split(SENTENCE_END, text)) if u) for text in sentences.values()]
+    return sorted({parts for parts in cut if len(parts) > 1}, key=lambda parts: (-len(parts), parts))
+
+
+def _together(units: Column, apart: list[tuple[str, ...]]) -> Column:
+    """``units`` (normalised, not empty) with parts of one sentence that follow each other joined by a space."""
+    if not apart:
+        return units
+    # two line ends between units and one around all, so that neighbours don't share one
+    text = F.concat(F.lit("\n"), F.array_join(units, "\n\n"), F.lit("\n"))
+    for parts in apart:
+        text = F.replace(text, F.lit("\n" + "\n\n".join(parts) + "\n"), F.lit("\n" + " ".join(parts) + "\n"))
+    return F.filter(F.split(text, "\n"), lambda u: u != "")
+
+
 def _norm(text: Column) -> Column:
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
@@ -92,20 +113,25 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", senten
     table = F.create_map(*(F.lit(x) for pair in known(sentences, triggers).items() for x in pair))
     text = F.col("_text")
     found = {}
-    for how, cut in (("_lines", "\n"), ("_ends", SENTENCE_END)):
-        units = F.filter(F.transform(F.split(text, cut), _norm), lambda u: u != "")
+    apart = taken_apart(sentences)
+    bare = F.when(text.rlike(COMMENT), F.regexp_replace(text, COMMENT, ""))
+    for how, source, cut in (("_lines", text, "\n"), ("_ends", text, SENTENCE_END), ("_bare", bare, SENTENCE_END)):
+        units = F.filter(F.transform(F.split(source, cut), _norm), lambda u: u != "")
+        if cut == SENTENCE_END:
+            units = _together(units, apart)
         found[how] = F.filter(F.transform(units, lambda u: F.element_at(table, u)), lambda x: x.isNotNull())
     maybe = text.rlike("(?i)" + "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in triggers))
     none = F.array().cast("array<int>")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     d = d.select("doc_id", F.when(maybe, F.struct(*(v.alias(k) for k, v in found.items()))).alias("_found"))
     d = d.select("doc_id", *(F.coalesce(F.col(f"_found.{k}"), none).alias(k) for k in found))
-    d = d.select("doc_id", F.size(F.array_union("_lines", "_ends")).cast("long").alias("n_sentences"), *(F.concat(F.lit(","), F.array_join(F.col(k).cast("array<string>"), ","), F.lit(",")).alias(k) for k in found))
+    d = d.select("doc_id", F.size(F.array_union(F.array_union("_lines", "_ends"), "_bare")).cast("long").alias("n_sentences"), *(F.concat(F.lit(","), F.array_join(F.col(k).cast("array<string>"), ","), F.lit(",")).alias(k) for k in found))
     fired = []
     for name in sorted({r[0] for r in rules}):
         hits = F.lit(False)
         for _, ids in (r for r in rules if r[0] == name):
             pattern = "," + r"([0-9]+,)*".join(f"{number[i]}," for i in ids)
-            hits = hits | F.col("_lines").rlike(pattern) | F.col("_ends").rlike(pattern)
+            for k in found:
+                hits = hits | F.col(k).rlike(pattern)
         fired.append(F.when(hits & (F.col("n_sentences") > 0), F.lit(name)))
     return d.select("doc_id", "n_sentences", F.concat_ws(",", *fired).alias("licenses"))

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -359,6 +360,37 @@ def test_licences(spark):
         licenses.known({"x": "nothing special"})
 
 
+def test_wrapped_and_commented_licences(spark):
+    s = licenses.SENTENCES
+    gpl = """Copyright (C) 2020  X
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 60))
+    mit = "\n\n".join(("MIT License\n\nCopyright (c) 2020 X", wrap(s["mit-1"]), wrap(s["mit-2"]), wrap(s["mit-3"])))
+    isc = "\n\n".join(("Copyright (c) 2020 X", wrap(s["isc-1"])))
+    mark = lambda text, sign: "\n".join(f"{sign} {x}".rstrip() for x in text.split("\n"))
+    texts = [(gpl, 2, "GPL-3.0"), (mit, 3, "MIT"), (isc, 1, "ISC")]
+    rows, want = [], {}
+    for text, n, name in texts:
+        for shown in (text, mark(text, "#"), mark(text, "//"), mark(text, "--"), "/*\n" + mark(text, " *") + "\n */\nint x;"):
+            want[len(rows)] = (n, name)
+            rows.append((len(rows), shown))
+    split = s["gpl-1"].split(": ")
+    for shown in (split[0] + ":\n\nNo.\n\n" + split[1] + "\n\n" + s["gpl-2"], "# not a license\n#\n# at all"):  # parts that don't follow each other
+        want[len(rows)] = (1 if "WARRANTY" in shown else 0, "")
+        rows.append((len(rows), shown))
+    got = {r["doc_id"]: (r["n_sentences"], r["licenses"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # -- 9 SentencePiece
 
 
