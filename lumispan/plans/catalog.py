@@ -5,7 +5,7 @@ Each entry is a pair: a function of (spark, folder of tables) and DuckDB SQL wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SpanFilter, TimeRange
@@ -188,8 +188,15 @@ _on_spans(
 # -- OTLP
 
 
+#: Event ids of one slice, whose events are counted together; a request has less than twice as many events.
+SLICE = 8192
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request a user, its events as spans; some have an empty trace id or a start that is no number."""
+    """The events of each user as spans, in requests of less than 2 * SLICE events (ids are unique); some have an empty trace id or a start that is no number.
+
+    ``first``: the user's events in earlier requests.
+    """
     e = read(spark, sf_dir, "events").withColumn("start", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") * 1000)
     trace = F.when(F.col("event_id") % 10 == 7, "").otherwise(F.concat(F.lit("t"), F.col("user_id")))
     start = F.when(F.col("event_id") % 10 == 3, "not-a-number").otherwise(F.col("start").cast("string"))
@@ -200,23 +207,33 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"'), (F.col("event_id") % 500).cast("string"), F.lit('"}},{"key":"gen_ai.usage.completion_tokens","value":{"intValue":'), (F.col("event_id") % 100).cast("string"),
         F.lit('}},{"key":"gen_ai.agent.name","value":{"stringValue":"agent-'), (F.col("user_id") % 11).cast("string"), F.lit('"}}],"status":{"code":'), F.when(F.col("event_type") == "error", "2").otherwise("1"), F.lit("}}"),
     )
-    listed = e.withColumn("body", body).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "body"))).alias("all"))
+    e = e.select("user_id", "event_id", F.expr(f"event_id div {SLICE}").alias("slice"), body.alias("body"))
+    # only counts of slices meet in a window of their user
+    counts = e.groupBy("user_id", "slice").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("user_id").alias("_user"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    numbered = e.join(starts, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("slice").eqNullSafe(F.col("_slice")))
+    listed = numbered.groupBy("user_id", F.expr(f"first div {SLICE}").alias("request")).agg(F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("event_id", "body"))).alias("all"))
     head = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.namespace","value":{"stringValue":"team-'), (F.col("user_id") % 7).cast("string"), F.lit('"}}]},"scopeSpans":[{"spans":['))
-    return listed.select("user_id", F.concat(head, F.array_join("all.body", ","), F.lit("]}]}]}")).alias("body"))
+    return listed.select("user_id", "first", F.concat(head, F.array_join("all.body", ","), F.lit("]}]}]}")).alias("body"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return otlp.spans_of(_requests(spark, sf_dir)).withColumn("index", F.col("index") + F.col("first"))
 
 
 _OTLP = f"""with e as (select *, epoch_us(ts) * 1000 start, row_number() over (partition by user_id order by event_id) - 1 i from events)
 """
 _add(
     "otlp_spans",
-    lambda s, d: split(otlp.spans_of(_requests(s, d)))[0].select("user_id", "index", "trace_id", "span_id", "start_ns", "latency_ms", "agent", "model", "team", "status", "tokens_in", "tokens_out", "payload"),
+    lambda s, d: split(_spans(s, d))[0].select("user_id", "index", "trace_id", "span_id", "start_ns", "latency_ms", "agent", "model", "team", "status", "tokens_in", "tokens_out", "payload"),
     _OTLP + """select user_id, i "index", 't' || user_id trace_id, 's' || event_id span_id, start start_ns, event_id % 1000 latency_ms, 'agent-' || (user_id % 11) agent, 'model-' || (user_id % 5) model,
       'team-' || (user_id % 7) team, case when event_type = 'error' then 'error' else 'ok' end status, (event_id % 500)::int tokens_in, (event_id % 100)::int tokens_out, '{"name":"' || event_type || '"}' payload
       from e where event_id % 10 not in (3, 7)""",
 )
 _add(
     "otlp_rejections",
-    lambda s, d: split(otlp.spans_of(_requests(s, d)))[1].select("user_id", "index", "error.field", "error.reason"),
+    lambda s, d: split(_spans(s, d))[1].select("user_id", "index", "error.field", "error.reason"),
     _OTLP + """select user_id, i "index", case event_id % 10 when 3 then 'startTimeUnixNano' else 'TraceID' end field, case event_id % 10 when 3 then 'is not an integer' else 'must not be empty' end reason
       from e where event_id % 10 in (3, 7)""",
 )

@@ -33,6 +33,19 @@ def test_matches_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+def test_otlp_keeps_all_events_of_a_hot_user(spark, tmp_path):
+    # one user's events are longer than the largest request; another's few are spread over all ids
+    hot = "cast(case when id % 4000 = 1 then 2 else 1 end as bigint) user_id"
+    spark.range(40_000).selectExpr("id event_id", hot, "timestamp'2025-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) ts", "'view' event_type").write.parquet(str(tmp_path / "events.parquet"))
+    found = {name: catalog.queries()[name](spark, str(tmp_path)).toPandas() for name in ("otlp_spans", "otlp_rejections")}
+    assert len(found["otlp_spans"]) == 32_000 and len(found["otlp_rejections"]) == 8_000
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name, got in found.items():
+        want = con.sql(catalog.oracle_sql()[name]).df()
+        assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
