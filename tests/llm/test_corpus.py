@@ -377,7 +377,7 @@ GNU General Public License for more details."""
     mit = "\n\n".join(("MIT License\n\nCopyright (c) 2020 X", wrap(s["mit-1"]), wrap(s["mit-2"]), wrap(s["mit-3"])))
     isc = "\n\n".join(("Copyright (c) 2020 X", wrap(s["isc-1"])))
     mark = lambda text, sign: "\n".join(f"{sign} {x}".rstrip() for x in text.split("\n"))
-    texts = [(gpl, 2, "GPL-3.0"), (mit, 3, "MIT"), (isc, 1, "ISC")]
+    texts = [(gpl, 4, "GPL-3.0"), (mit, 3, "MIT"), (isc, 1, "ISC")]
     rows, want = [], {}
     for text, n, name in texts:
         for shown in (text, mark(text, "#"), mark(text, "//"), mark(text, "--"), "/*\n" + mark(text, " *") + "\n */\nint x;"):
@@ -391,6 +391,26 @@ GNU General Public License for more details."""
     assert got == want
 
 
+def test_licences_in_hard_texts(spark):
+    s = licenses.SENTENCES
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    many = s["bsd-1"] + "\n" + "Released under the MIT License.\n" * 100_000
+    other = "x. Some long line of text\n" * 200_000 + s["isc-1"]
+    got = {r["doc_id"]: (r["n_sentences"], r["licenses"]) for r in licenses.scan(docs([(1, many), (2, other), (3, many + "\n".join(s[f"bsd-{i}"] for i in (2, 3)))])).collect()}
+    assert got == {1: (2, "MIT"), 2: (1, "ISC"), 3: (4, "BSD-2-Clause,MIT")}
+    # the trigger is read as sentences are: whatever stands between its words
+    own = {"x": "This is free software."}
+    for text in ("This is free-software.", "This is\nFREE\n\tsoftware", "# This is free\n# software", "this is free. Software"):
+        assert [r["licenses"] for r in licenses.scan(docs([(1, text)]), sentences=own, rules=(("Own", ("x",)),), triggers=("free software",)).collect()] == ["Own" if "free." not in text else ""]
+    # a rule's sentences may come from whole sentences and from lines
+    mixed = s["mit-1"].replace(" to ", "\n to ") + "\n\nx. " + s["mit-2"][:-1] + "\nand " + s["mit-3"] + "\n\n" + s["mit-3"]
+    assert [r["licenses"] for r in licenses.scan(docs([(1, mixed)])).collect()] == ["MIT"]
+    # many sentences, looked up by hash
+    table = {f"n{i}": f"Licensed under the terms number {i}." for i in range(3000)}
+    rows = licenses.scan(docs([(1, "\n".join(table.values())), (2, table["n7"] + " " + table["n5"])]), sentences=table, rules=(("A", ("n5", "n7")), ("B", ("n7", "n5")))).collect()
+    assert {r["doc_id"]: (r["n_sentences"], r["licenses"]) for r in rows} == {1: (3000, "A"), 2: (2, "B")}
+
+
 # -- 9 SentencePiece
 
 
