@@ -47,10 +47,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+    """``df`` written as Parquet in the shared folder and read again.
+
+    Unlike a checkpoint, the result has the size of its files as statistics; those of checkpoints multiply
+    with each join, so that after many rounds the planner is busy with numbers of millions of digits.
+    """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:

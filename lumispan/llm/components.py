@@ -2,7 +2,7 @@
 
 Each round hooks neighbours to the smallest known node. Minima are pre-aggregated and materialised,
 so that hot nodes meet their edges in plain equi-joins, which adaptive execution splits. Every round
-is checkpointed in the shared folder.
+is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,17 +22,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Nodes may be of any orderable type. Loops, repeated edges and edges with a null end are ignored.
     """
-    e = checkpoint(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = stored(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = _state(e)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = checkpoint(both.groupBy("x").agg(F.min("y").alias("m")))
+        least = stored(both.groupBy("x").agg(F.min("y").alias("m")))
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v"))
-        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = checkpoint(small.distinct())
+        e = stored(small.distinct())
         after = _state(e)
         if after == before:
             break

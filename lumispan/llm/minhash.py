@@ -1,48 +1,58 @@
-"""MinHash near-dedup over an LSH forest.
+"""MinHash near-dedup over an LSH forest, made exact where its regions are overfull.
 
 Signatures come from one pass over the texts. Equal shingle sets collapse to one representative. For
 each of TREES sorted orders, the representatives are range-partitioned and sorted by a label of DEPTH
 min-hash values, so rows with the longest common prefixes are neighbours. The depth adapts to the
 region: where at most REGION rows share a prefix, all of them are candidates of each other, however
 short the prefix; a larger region is left to its longer prefixes, and there each row meets its
-direct neighbour (in every other order) and the region's one or two hubs, the rows closest to the region's most common min-hash values
-(in a cluster of altered copies, the original; of tied rows, each order takes the next ones). So candidates
-grow with the rows, never with the square of a group. Candidates must agree in a 64-sample sketch
-(five standard deviations below the threshold) and in size. Rows whose candidates all failed then
-meet the hubs once more, in a second, smaller forest of just those rows and all hubs: there a group
-that was spread over many partitions lies close together.
+direct neighbour (in every other order) and the region's one or two hubs, the rows closest to the
+region's most common min-hash values (in a cluster of altered copies, the original; of tied rows, each
+order takes the next ones). So candidates grow with the rows, never with the square of a group.
+Candidates must agree in a 64-sample sketch (five standard deviations below the threshold) and in size.
 
 Links are confirmed on full shingle sets, first each row's best partner, then, once components of
-those are known, only pairs that still lie in different components. Components are computed in
-DataFrame rounds. Links, sets and components stay distributed.
+those are known, only pairs that still lie in different components.
+
+Rows that a region of full depth, a partition's border or a chunk's border kept from some of their
+neighbours are marked, and the links between marked rows are then found exactly: shingles are ordered
+from rare to frequent among the marked sets, two sets that are similar enough share one within the
+first few of each (prefix and position filter), and pairs that share such a shingle, but no component,
+are confirmed too. A shingle's largest component is met only by rows outside of it, never by itself.
+What remains to chance is a pair that shares no label at all in any order, as in any LSH forest.
+
+Components are computed in DataFrame rounds. Links, sets and components stay distributed; sets travel
+to cells of pairs, at most once to each.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a shingle is five words; a text with fewer
 words is one shingle; similarity is intersection over union of distinct shingles (64-bit hashes).
 
 Defined results: a text without words, or null, has no shingles and links with nothing; a null id
-links with nothing, has a null component and is kept; repeated rows with one id are one document. An
-empty table gives an empty result. Extra columns are not read.
+links with nothing, has a null component and is kept; repeated rows with one id are one document, and
+one of its texts counts; very long texts are read whole. An empty table gives an empty result. Extra
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, releasing, small_batches, without_ids
+from .common import broadcast_if_small, releasing, small_batches, stored, without_ids
 from .components import components
 
 WORDS = 5
 TREES, DEPTH = 16, 4
 SAMPLES = TREES * DEPTH
 REGION = 16
-#: Hubs of a region by sorted order: in the first forest, which holds all rows, and in the second.
-HUBS, MORE_HUBS = (2, 1), (1, 1)
+#: Hubs of a region in even and odd sorted orders.
+HUBS = (2, 1)
 #: A region inside another one takes hubs of its own if it is smaller by this factor.
 NESTED = 4
 #: Equal 4-bit samples of 64 that a candidate needs; similarity 0.75 gives 49 on average, standard deviation 3.4.
@@ -51,6 +61,10 @@ SLICE = 1 << 20
 CHUNK_ROWS = 1 << 19
 #: Rows of one partition of the forest; few boundaries cut few regions.
 PARTITION_ROWS = 300_000
+#: A cell of pairs to confirm holds about this many bytes of sets and this many pairs.
+CELL_BYTES, CELL_PAIRS = 32 << 20, 1_000_000
+#: Rows of one shingle that meet in one task on one side.
+HOT_ROWS = 1024
 
 _U64 = np.uint64
 
@@ -197,6 +211,15 @@ def _agreement(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return _EQUAL_NIBBLES[sketch[i] ^ sketch[j]].sum(axis=1, dtype=np.int32)
 
 
+def exposed(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows, sorted by tree and label, whose region is overfull at full depth or may go on beyond the first or last row."""
+    out = _runs(tree, label, DEPTH)[1] > REGION
+    top = label >> _U64(16 * (DEPTH - 1))
+    for edge, part in ((0, slice(0, REGION)), (-1, slice(-REGION, None))):
+        out[part] |= (top[part] == top[edge]) & (tree[part] == tree[edge])
+    return np.flatnonzero(out)
+
+
 def neighbours(tree: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, hubs: tuple[int, int] = HUBS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate rows (i, j), their agreement, and whether i is a hub, of rows sorted by tree and label."""
     runs = [_runs(tree, label, d) for d in range(1, DEPTH + 1)]
@@ -242,8 +265,8 @@ def neighbours(tree: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.nd
     return i[ok], j[ok], agree[ok], hub[ok]
 
 
-def candidates(reps: DataFrame, rows: int, hubs_by_order: tuple[int, int] = HUBS) -> DataFrame:
-    """(a, b, agree, hubs) with a < b, from (rep, n, labels, sketch) of distinct sets; bits 1 and 2 of hubs: a, b was a hub."""
+def candidates(reps: DataFrame, rows: int) -> DataFrame:
+    """(a, b, agree) with a < b, from (rep, n, labels, sketch) of distinct sets, and (a, a, 0) for each exposed row."""
     forest = reps.select("rep", "n", "sketch", F.posexplode("labels").alias("tree", "label"))
     parts = -(-rows * TREES // PARTITION_ROWS) or 1
     ordered = forest.repartitionByRange(parts, "tree", "label", "n", "rep").sortWithinPartitions("tree", "label", "n", "rep").select("tree", "label", "n", "rep", "sketch")
@@ -256,14 +279,19 @@ def candidates(reps: DataFrame, rows: int, hubs_by_order: tuple[int, int] = HUBS
             t = pa.Table.from_batches(held)
             tree, label, n, rep = (t.column(k).to_numpy() for k in range(4))
             sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, SAMPLES // 2)
-            i, j, agree, hub = neighbours(tree, label.astype(np.int64).view(np.uint64), n, sketch, hubs_by_order)
-            a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-            hubs = np.where(hub, np.where(rep[i] == a, 1, 2), 0).astype(np.int32)
+            label = label.astype(np.int64).view(np.uint64)
+            i, j, agree, _ = neighbours(tree, label, n, sketch)
+            lone = exposed(tree, label)
+            a, b = np.concatenate((np.minimum(rep[i], rep[j]), rep[lone])), np.concatenate((np.maximum(rep[i], rep[j]), rep[lone]))
+            agree = np.concatenate((agree, np.zeros(len(lone), agree.dtype))).astype(np.int32)
+            # tied rows of one set in several trees meet here too; only an exposed row pairs with itself
+            real = np.concatenate((rep[i] != rep[j], np.ones(len(lone), bool)))
+            a, b, agree = a[real], b[real], agree[real]
             if len(a):
-                order = np.lexsort((-hubs, b, a))
-                a, b, agree, hubs = a[order], b[order], agree[order], hubs[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) & (a != b)
-                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, agree, hubs)], ["a", "b", "agree", "hubs"])
+                order = np.lexsort((b, a))
+                a, b, agree = a[order], b[order], agree[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, agree)], ["a", "b", "agree"])
 
         for batch in batches:
             held.append(batch)
@@ -273,12 +301,11 @@ def candidates(reps: DataFrame, rows: int, hubs_by_order: tuple[int, int] = HUBS
         if held:
             yield from flush()
 
-    return ordered.mapInArrow(scan, "a long, b long, agree int, hubs int").groupBy("a", "b").agg(F.max("agree").alias("agree"), F.bit_or("hubs").alias("hubs"))
+    return ordered.mapInArrow(scan, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The (a, b) of ``pairs`` (materialised) whose whole shingle sets have 100 * intersection >= 75 * union."""
-    ids = checkpoint(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+def sets_of(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id, n, shingles) of the documents in ``ids`` (one column ``id``, materialised): whole sets, sorted as unsigned numbers."""
     raw = _binary(docs, text_col, id_col).join(broadcast_if_small(ids), "id", "left_semi")
 
     @releasing
@@ -286,52 +313,149 @@ def confirm(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> Da
         for batch in batches:
             at = 0
             for found in shingle_sets(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "shingles"])
+                sizes = [len(x) for x in found]
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array(sizes, pa.int64()), values], ["id", "n", "shingles"])
                 at += len(found)
 
-    # repeated rows of one id meet before the joins; a hub with very many pairs can then be split
-    full = checkpoint(raw.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")))
+    # repeated rows of one id become one
+    return raw.mapInArrow(sets, "id long, n long, shingles array<long>").groupBy("id").agg(F.max(F.struct("n", "shingles")).alias("s")).select("id", "s.n", "s.shingles")
+
+
+def forest_links(ids: np.ndarray, offsets: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marks those pairs (a, b) with 100 * intersection >= 75 * union that join two trees of the forest they make.
+
+    Sets are slices of ``values``. A pair within one tree is not compared: it links nothing new.
+    """
+    order = np.argsort(ids, kind="stable")
+    x, y = (order[np.searchsorted(ids, v, sorter=order)] for v in (a, b))
+    size = np.diff(offsets)
+    by = np.argsort(x, kind="stable")
+    out = np.zeros(len(a), bool)
+    parent = list(range(len(ids)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(x[by]) != 0, [True])))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        me = int(x[by[low]])
+        one = values[offsets[me] : offsets[me + 1]]
+        while low < high:
+            upto = max(low + 1, low + int(np.searchsorted(np.cumsum(size[y[by[low:high]]]), 1 << 18)))
+            mine = root(me)
+            rows = [r for r in by[low:upto].tolist() if root(int(y[r])) != mine]
+            low = upto
+            if not rows:
+                continue
+            others = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in y[rows].tolist()])
+            at = np.searchsorted(one, others)
+            at[at == len(one)] = 0
+            lengths = size[y[rows]]
+            shared = np.add.reduceat((one[at] == others).astype(np.int64), np.cumsum(lengths) - lengths)
+            for r in np.array(rows)[7 * shared >= 3 * (lengths + len(one))].tolist():
+                p, q = root(me), root(int(y[r]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out[r] = True
+    return out
 
-    @releasing
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(same > 0 and 100 * same >= 75 * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    met = pairs.select("a", "b").join(full.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(full.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that grows faster than the bytes it reads, so that adaptive execution must not merge its partitions."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, n_pairs: int, set_bytes: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` (materialised) whose whole shingle sets have 100 * intersection >= 75 * union.
+
+    All such pairs are connected by the links given, which are a forest in each cell. Ids are dealt into buckets by a hash; a cell holds the pairs of two buckets and each set that they need, once.
+    """
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    buckets = max(math.ceil(2 * set_bytes / CELL_BYTES), math.ceil(math.sqrt(2 * n_pairs / CELL_PAIRS)), math.ceil(math.sqrt(4 * cores)) if n_pairs > 1000 else 1)
+    at = lambda c: F.pmod(F.xxhash64(F.lit(31), F.col(c)), F.lit(buckets))
+    placed = pairs.select("a", "b", F.least(at("a"), at("b")).alias("low"), F.greatest(at("a"), at("b")).alias("high"))
+    needs = placed.select("low", "high", F.col("a").alias("id")).unionAll(placed.select("low", "high", F.col("b").alias("id"))).distinct()
+    shipped = needs.join(sets.select("id", "shingles"), "id").select(F.col("low").alias("low_s"), F.col("high").alias("high_s"), "id", "shingles")
+
+    def compare(there: pa.Table, asked: pa.Table) -> pa.Table:
+        lists = there.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        ok = forest_links(there.column("id").to_numpy(), lists.offsets.to_numpy(), values, asked.column("a").to_numpy(), asked.column("b").to_numpy()) if asked.num_rows else np.zeros(0, bool)
+        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    tasks = _tasks(pairs) if n_pairs > 1000 else 1
+    return shipped.repartition(tasks, "low_s", "high_s").groupBy("low_s", "high_s").cogroup(placed.repartition(tasks, "low", "high").groupBy("low", "high")).applyInArrow(compare, "a long, b long")
+
+
+def prefix_pairs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, b) of sets that may be similar enough and lie in different components of ``grouped`` (node, component); none is left out.
+
+    Shingles are ordered from rare to frequent; ``left`` counts a set's shingles from one on, itself
+    included. Of two sets that share 3/7 of the sum of their sizes, the first common shingle has that
+    many left in both. A shingle of one set alone is never common, and comes before all others.
+    """
+    shingles = sets.select("id", "n", F.explode("shingles").alias("shingle"))
+    times = shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    from_last = W.partitionBy("id").orderBy(F.col("times").desc(), F.col("shingle").desc())
+    first = shingles.join(times, "shingle").withColumn("left", F.row_number().over(from_last)).filter("4 * left >= 3 * n").select("shingle", "id", "n", "left")
+    component = F.coalesce("component", "id")
+    known = grouped.select(F.col("node").alias("id"), "component")
+    of = sets.select("id").join(known, "id", "left").select("id", component.alias("component"))
+    of = stored(of.join(of.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size"))
+    first = stored(first.join(broadcast_if_small(of), "id"))
+    # shingles of several components, with the largest of these
+    mixed = first.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("top"))
+    mixed = mixed.filter("low != high").select("shingle", F.col("top.component").alias("top"), F.ceil(F.col("rows") / HOT_ROWS).alias("salts"))
+    met = stored(first.join(mixed, "shingle").select("shingle", "id", "n", "left", "component", "top", "salts"))
+    # a hot shingle's rows are dealt over several salts on one side, and go to each of them on the other
+    x = met.filter("component != top").select("shingle", F.pmod(F.xxhash64(F.lit(37), "id"), F.col("salts")).alias("salt"), "top", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "left", "component")))
+    y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "left", "component")))
+    tasks = _tasks(sets)
+    pairs = x.repartition(tasks, "shingle", "salt").join(y.repartition(tasks, "shingle", "salt").hint("merge"), ["shingle", "salt"]).filter("component_x != component_y and 7 * least(left_x, left_y) >= 3 * (n_x + n_y) and (component_y = top or id_x < id_y)")
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    coded = checkpoint(signatures(docs, text_col, id_col))
+    coded = stored(signatures(docs, text_col, id_col))
     filled = coded.filter("n > 0 and id is not null")
     reps = filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    found = checkpoint(candidates(reps, coded.count()))
+    scanned = stored(candidates(reps, coded.count()))
+    found, marked = scanned.filter("a != b"), scanned.filter("a = b").select(F.col("a").alias("id"))
+    ids = stored(marked.unionAll(found.select(F.col("a").alias("id"))).unionAll(found.select(F.col("b").alias("id"))).distinct())
+    sets = stored(sets_of(docs, ids, text_col, id_col))
+    set_bytes = 8 * (sets.agg(F.sum("n")).first()[0] or 0)
     # each row's best partner first
     both = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").unionAll(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
     best = both.groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("minus"))).alias("top")).select("x", (-F.col("top.minus")).alias("y"))
-    first = checkpoint(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    grouped = checkpoint(components(confirm(docs, first, text_col, id_col)))
-    # rows whose candidates failed, and all hubs, in a smaller forest
-    ends = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).distinct()
-    hubs = found.filter("hubs & 1 = 1").select(F.col("a").alias("rep")).unionAll(found.filter("hubs & 2 = 2").select(F.col("b").alias("rep")))
-    again = checkpoint(ends.join(grouped.select(F.col("node").alias("rep")), "rep", "left_anti").unionAll(hubs).distinct())
-    n_again = again.count()
-    more = checkpoint(candidates(reps.join(broadcast_if_small(again, n_again), "rep", "left_semi"), n_again, MORE_HUBS))
-    found = found.select("a", "b").unionAll(more.select("a", "b")).distinct()
+    first = stored(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    grouped = stored(components(confirm(first, sets, first.count(), set_bytes)))
+
+    def joined(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+        """Components with the links of ``pairs``, which are materialised."""
+        if not (n := pairs.count()):
+            return grouped
+        links = stored(confirm(pairs, sets, n, set_bytes))
+        if links.isEmpty():
+            return grouped
+        known = grouped.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return stored(components(links.unionAll(known)))
+
     # then pairs between different components that weren't looked at
     side = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = found.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = checkpoint(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    links = confirm(docs, rest, text_col, id_col).unionAll(grouped.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    final = checkpoint(components(links))
+    rest = found.select("a", "b").join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    grouped = joined(stored(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")), grouped)
+    final = grouped
+    if not marked.isEmpty():
+        final = joined(stored(prefix_pairs(sets.join(broadcast_if_small(marked), "id", "left_semi"), grouped)), grouped)
     # only sets of two or more documents need their representative looked up
-    classes = checkpoint(filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
+    classes = stored(filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
     out = coded.select("id", "n", "f1", "f2").join(broadcast_if_small(classes), ["f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(broadcast_if_small(final.withColumnRenamed("node", "rep")), "rep", "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
@@ -341,5 +465,5 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: the smallest id of each component."""
-    dropped = checkpoint(near_groups(docs, text_col, id_col).filter("not kept").select("doc_id").distinct())
+    dropped = stored(near_groups(docs, text_col, id_col).filter("not kept").select("doc_id").distinct())
     return without_ids(docs, dropped, id_col)

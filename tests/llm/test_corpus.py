@@ -508,6 +508,74 @@ def test_near_groups_of_all_kinds(spark):
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def near_dense(rows):
+    """Components of non-empty texts by all pairs, as a dense product over shared shingles."""
+    sets, parent = [shingles_brute(t) for _, t in rows], list(range(len(rows)))
+    column = {g: k for k, g in enumerate(g for g, c in Counter(g for s in sets for g in s).items() if c > 1)}
+    m, n = np.zeros((len(sets), len(column)), np.float32), np.array([len(s) for s in sets])
+    for i, s in enumerate(sets):
+        m[i, [column[g] for g in s if g in column]] = 1
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a in range(0, len(sets), 500):
+        i, j = np.nonzero(7 * (m[a : a + 500] @ m.T) >= 3 * (n[a : a + 500, None] + n[None, :]))
+        for x, y in zip((i + a).tolist(), j.tolist()):
+            p, q = root(x), root(y)
+            parent[max(p, q)] = min(p, q)
+    best = {}
+    for j, (i, _) in enumerate(rows):
+        best[root(j)] = min(best.get(root(j), i), i)
+    return {i: best[root(j)] for j, (i, _) in enumerate(rows)}
+
+
+def test_near_groups_lose_no_link_in_template_families(spark):
+    # families of three sizes whose members are too far from each other, each with near copies of some members
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(20_000)]
+    texts = []
+    for size in (150, 500, 1500):
+        template = [rng.choice(vocab) for _ in range(300)]
+        members = []
+        for _ in range(size):
+            member = list(template)
+            for k in rng.sample(range(3, 300, 6), 7):
+                member[k] = rng.choice(vocab)
+            members.append(member)
+        for member in members[: size // 2]:
+            copy = list(member)
+            for k in rng.sample(range(6, 290, 6), 6):
+                copy[k] = rng.choice(vocab)
+            members.append(copy)
+        texts += [" ".join(x) for x in members]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {i: c for i, (_, c) in near_spark(spark, rows).items()}
+    want = near_dense(rows)
+    assert got == want and 900 < sum(c != i for i, c in want.items()) < 1200
+
+
+def test_forest_links():
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.permutation(np.arange(40, dtype=np.uint64))[: 33 + k % 3]) for k in range(60)]
+    ids = np.arange(60) * 7
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    a, b = np.triu_indices(60, 1)
+    mark = minhash.forest_links(ids, offsets, np.concatenate(sets), ids[a], ids[b])
+    similar = np.array([4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)])
+
+    def groups(pairs):
+        of = list(range(60))
+        for i, j in pairs:
+            of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+        return of
+
+    assert not (mark & ~similar).any() and groups(zip(a[mark], b[mark])) == groups(zip(a[similar], b[similar])) and mark.sum() < similar.sum()
+
+
 def test_near_dedup_odd_rows(spark):
     docs = odd(spark).withColumn("kept", F.lit("mine"))
     got = minhash.near_groups(docs).collect()
