@@ -18,34 +18,38 @@ select doc_id, keep_id, cast(group_size as bigint) group_size, doc_id = keep_id
 
 
 def url_filter(rules: list[tuple[str, str]]) -> str:
+    """Without dot segments and rare character references, which the tables' links don't have; a test holds those against a parser."""
     fits, allow = [], ", ".join(f"'{r}'" for a, r in rules if a == "allow")
     for _, rule in sorted(rules, key=lambda r: -len(r[1])):
         host, _, rest = rule.partition("/")
         fits.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{rest}') then '{rule}'")
-    key = lambda u: rf"""case when contains({u}, '://') then
-      regexp_replace(translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), {AZ}), '^(www|m)\.', '')
-      || regexp_replace(regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '(/index\.html?)?/*$', '')
-      || case when q{u} = '' then '' else '?' || q{u} end end"""
-    query = lambda u: rf"""coalesce(regexp_replace(regexp_replace(regexp_extract({u}, '^[^?#]*\?([^#]*)', 1, 's'), '(^|&)(utm_[a-z]+|fbclid|gclid|ref)=[^&]*', '', 'g'), '^&+', ''), '')"""
+    host = lambda u: f"case when contains({u}, '://') then translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), {AZ}) else '' end"
+    path = lambda u: f"case when contains({u}, '://') then regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end"
+    # a node is scheme, host without a default port, path (a slash at least) and query
+    key = lambda u: rf"""case when contains({u}, '://') then regexp_replace(regexp_replace(
+      translate(regexp_extract({u}, '^(.*?://[^/?#]*)', 1, 's'), {AZ}), '^(http://.*):80$', '\1', 's'), '^(https://.*):443$', '\1', 's')
+      || case when regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') = '' then '/' else regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') end
+      || regexp_extract({u}, '^[^?#]*(\?[^#]*)?', 1, 's') end"""
+    value = lambda name: rf"""regexp_extract(tag, '(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)"""
     return rf"""
-with recursive p as (select page_id, url, html, {query("url")} qurl,
-  case when contains(url, '://') then translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {AZ}) else '' end host,
-  case when contains(url, '://') then regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path from pages),
-q as (select *, {key("url")} k, case {" ".join(fits)} end rule from p),
-t as (select url, k, host, unnest([
-  regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["''\s][^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-  regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) x from q where k is not null),
-a as (select url, k, case when contains(x, '://') then x when starts_with(x, '//') then 'http:' || x when starts_with(x, '/') then 'http://' || host || x end z from t where x <> ''),
-z as (select k, z, {query("z")} qz, case when contains(z, '://') then translate(regexp_extract(z, '^.*?://([^/?#]*)', 1, 's'), {AZ}) else '' end host,
-  case when contains(z, '://') then regexp_extract(z, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path from a),
-e as (select k a, {key("z")} b, case {" ".join(fits)} end rule from z),
-s as (select a, b from e where b is not null and a <> b union select b, a from e where b is not null and a <> b),
+with recursive o as (select page_id, url, html, {key("url")} k, {host("url")} host, {path("url")} path from pages),
+q as (select *, case {" ".join(fits)} end rule from o),
+v as (select url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)', ' ', 'g'), '(?i)<(link|meta)\b[^<>]*>', 0)) tag
+  from pages where contains(url, '://') and (html ilike '%canonical%' or html ilike '%refresh%')),
+t as (select url, trim(replace(case when starts_with(lower(tag), '<link') then case when list_contains(regexp_split_to_array(lower({value("rel")}), '\s+'), 'canonical') then {value("href")} end
+  when lower(trim({value("http-equiv")})) = 'refresh' then regexp_extract({value("content")}, '(?i)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?["'']?\s*([^"''\s]+)', 1) end, '&amp;', '&')) x from v),
+z as (select url, case when x = '' or starts_with(x, '#') then null when contains(x, '://') then x when regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+  when starts_with(x, '//') then regexp_extract(url, '^(.*?:)//', 1, 's') || x when starts_with(x, '/') then regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || x
+  when starts_with(x, '?') then regexp_extract(url, '^(.*?://[^?#]*)', 1, 's') || x
+  else regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || regexp_extract({path("url")} || case when {path("url")} = '' then '/' else '' end, '^(.*/)', 1, 's') || x end target from t where x is not null),
+e as (select {key("url")} a, {key("target")} b, target, {host("target")} host, {path("target")} path from z where target is not null),
+s as (select a, b from e where a <> b union select b, a from e where a <> b),
 r(node, c) as (select a, a from s union select s.b, r.c from r join s on r.node = s.a),
 g as (select node, min(c) c from r group by node),
-o as (select q.*, coalesce(g.c, q.k) comp, case when rule is null then null when rule in ({allow}) then 'allow' else 'block' end act from q left join g on q.k = g.node),
-d as (select comp, rule from o union all select coalesce(g.c, e.b), e.rule from e left join g on e.b = g.node),
-f as (select comp, bool_or(rule in ({allow})) ok from d where rule is not null and comp is not null group by comp)
-select page_id, host, path, rule, coalesce(act, case when coalesce(ok, true) then 'allow' else 'block' end) verdict from o left join f using (comp)
+d as (select g.c, rule from q join g on q.k = g.node union all select g.c, case {" ".join(fits)} end rule from e join g on e.b = g.node),
+f as (select c, bool_or(rule in ({allow})) ok from d where rule is not null group by c)
+select page_id, host, path, rule, case when rule in ({allow}) then 'allow' when rule is not null then 'block' when coalesce(ok, true) then 'allow' else 'block' end verdict
+from q left join g on q.k = g.node left join f on f.c = g.c
 """
 
 
