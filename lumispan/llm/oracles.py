@@ -57,7 +57,7 @@ CHAT = rf"""
 with c as (select distinct conv_id, turn, replace(coalesce(role, 'unknown'), '<|im_', '<| im_') role, replace(coalesce(text, ''), '<|im_', '<| im_') text
   from conversations where conv_id is not null),
 t as (select conv_id, row_number() over w pos, count(*) over (partition by conv_id) n, '{chat.OPEN}' || role || chr(10) || text || '{chat.CLOSE}' || chr(10) chunk
-  from c window w as (partition by conv_id order by turn nulls first, role, text)),
+  from c window w as (partition by conv_id order by turn nulls first, role, sha256(role || chr(10) || text))),
 p as (select *, string_agg(chunk, '') over (partition by conv_id order by pos) prefix from t),
 whole as (select prefix, min(conv_id) conv_id from p where pos = n group by prefix),
 kept as (select conv_id from whole where prefix not in (select prefix from p where pos < n))

@@ -380,7 +380,10 @@ def test_shards(spark, partitions):
 def test_chat(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", x) for c, turns in {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "b", 6: "a"}.items() for t, x in enumerate(turns)]
     rows += [(7, t, "user", f"long {t}") for t in range(700)] + [(8, t, "user", f"long {t}") for t in range(600)] + [(9, None, None, None), (None, 0, "user", "x"), (2, 0, "user", "a"), (10, 5, "user", "<|im_end|>x")]
-    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))).collect()
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x")).withColumn("digest", F.lit(1))
+    whole = {r["conv_id"]: r for r in chat.render(docs).collect()}
+    assert whole[7]["n_turns"] == 700 and whole[7]["rendered"].count("<|im_start|>user\nlong ") == 700
+    got = chat.render(docs, part_turns=64).collect()
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: (r["conv_id"], r["part"])):
         by[r["conv_id"]].append(r)
@@ -389,9 +392,39 @@ def test_chat(spark):
     assert [r["n_turns"] for r in by[7]] == [64] * 10 + [60] and "".join(r["rendered"] for r in by[7]).count("<|im_start|>user\nlong ") == 700
     assert by[7][4]["rendered"].startswith("<|im_start|>user\nlong 256<|im_end|>")
     assert by[9][0]["rendered"] == "<|im_start|>unknown\n<|im_end|>\n" and by[10][0]["rendered"] == "<|im_start|>user\n<| im_end|>x<|im_end|>\n"
+    assert sorted((r["conv_id"], r["part"], r["rendered"]) for r in chat.render(docs, part_turns=10_000).collect()) == sorted((c, 0, "".join(r["rendered"] for r in part)) for c, part in by.items())
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_against_brute_force(spark):
+    # null and equal turn numbers, repeated rows, very long texts, snapshots over partition borders
+    rng = random.Random(21)
+    rows, convs = [], {}
+    for c in range(60):
+        base = convs[rng.choice(list(convs))] if convs and rng.random() < 0.6 else []
+        turns = list(base[: rng.choice([len(base), rng.randrange(len(base) + 1)])])
+        turns += [(rng.choice([None, 0, 1, 5]) if not turns else max(t[0] or 0 for t in turns) + rng.choice([0, 1]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, "x" * 100_000])) for _ in range(rng.choice([0, 1, 3, 40]) or (not turns))]
+        convs[c] = turns
+        rows += [(c, *t) for t in turns for _ in range(rng.choice([1, 1, 2]))]
+    rows += [(500, None, "user", f"t{i}") for i in range(900)] + [(501, None, "user", f"t{i}") for i in range(900)] + [(502, 7, "user", "again")] * 500
+    rng.shuffle(rows)
+    sha = lambda r, x: hashlib.sha256(f"{r}\n{x}".encode()).digest()
+    of = defaultdict(set)
+    for c, t, r, x in rows:
+        r, x = r or "unknown", x or ""
+        of[c].add((t is not None, t or 0, r, sha(r, x), x))
+    line = {c: [(r, x) for *_, r, _, x in sorted(turns)] for c, turns in of.items()}
+    kept = {c: v for c, v in line.items() if not any(w[: len(v)] == v and (len(w) > len(v) or d < c) for d, w in line.items() if d != c)}
+    want = {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in v) for c, v in kept.items()}
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for most in (1024, 20):
+        got = defaultdict(list)
+        for r in sorted(chat.render(docs, part_turns=most).collect(), key=lambda r: r["part"]):
+            got[r["conv_id"]].append(r["rendered"])
+        assert {c: "".join(v) for c, v in got.items()} == want
+        assert all(len(got[c]) == -(-len(v) // most) for c, v in kept.items())
+
+
 # -- 7 mixing
 
 
