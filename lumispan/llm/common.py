@@ -8,14 +8,18 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of all word and line rules here; ``bytes.split()`` cuts at exactly these six bytes.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Above this many rows nothing is broadcast.
+#: Above this many rows, or bytes of their values, nothing is broadcast.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+#: Tables that ``stored`` wrote in this process.
+written: list[str] = []
 #: Rows of one Arrow batch, so that a batch of very long texts stays within a worker's memory.
 BATCH_ROWS = 1_000
 
@@ -33,10 +37,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is missing, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where it is not set, a local session takes a temporary one, a cluster raises ValueError."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumispan-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="lumispan-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -54,18 +61,49 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint for a materialised frame of at most BROADCAST_ROWS narrow rows; else the frame as it is."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``stored`` wrote, once nothing lazy depends on them."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in written:
+            written.remove(path)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a materialised frame of few rows and bytes, both counted; else the frame as it is."""
+    sizes = [F.lit(16) if isinstance(f.dataType, T.NumericType) else F.coalesce(F.octet_length(quoted(f.name).cast("string")), F.lit(0)) + 32 for f in df.schema]
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
+
+
+def quoted(name: str) -> Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def every(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """All columns of a frame, but those named (in any case)."""
+    gone = {x.lower() for x in but}
+    return [quoted(c) for c in df.columns if c.lower() not in gone]
+
+
+def scratch(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (one column, materialised); rows with a null id stay."""
-    return docs.join(broadcast_if_small(ids.withColumnRenamed(ids.columns[0], id_col)), id_col, "left_anti").select(*docs.columns)
+    gone = scratch(docs, "_gone")
+    return docs.join(broadcast_if_small(ids.select(F.col(ids.columns[0]).alias(gone))), quoted(id_col).cast("long") == F.col(gone), "left_anti").select(*every(docs))
 
 
 def release() -> None:

@@ -6,11 +6,14 @@ task once. The distinct byte strings then go to partitions by (length, content h
 whole string is inserted into a trie whose terminal nodes hold the owner: the longest original,
 then the smallest identifier. A trie over its memory limit spills its largest subtrees to an
 unnamed task-local file; a lost executor loses nothing but that task. Owners of groups of two or
-more are joined back to the documents by (digest, length), which adaptive execution can split.
-
-Defined results: a null text counts as empty; a null id loses every tie and, as the only id of a
-group, gives a null keep_id; repeated rows with one id are one document, so all of them are kept
-when that id is. An empty table gives an empty result. Extra columns of the input are not read.
+more are joined back to the documents by (digest, length), which adaptive execution can split. Groups are made
+by whole strings; only that way back trusts the digest (SHA-256).
+
+Defined results: a null text counts as empty; very long texts are read whole; a null id loses every
+tie and, as the only id of a group, gives a null keep_id; repeated rows of one id and one text are one
+document, so all of them are kept when that id is. Rows of one id with different texts are judged one
+by one. An empty table gives an empty result. Extra columns of the input are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, checkpoint, releasing, small_batches, without_ids
+from .common import SPACE_BYTES, broadcast_if_small, every, quoted, releasing, scratch, small_batches, stored
 
 #: Bytes of strings and nodes that a trie holds in memory.
 TRIE_BYTES = 64 << 20
@@ -203,11 +206,7 @@ def owners(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limi
                 trie.insert(key, (n, i), count, digest)
 
         def rows():
-            seen: set[bytes] = set()
             for key, (_, i), count, digest in trie.items():
-                if digest in seen:
-                    raise ValueError("two different texts have the same SHA-256")
-                seen.add(digest)
                 yield digest, len(key), i, count
 
         yield from _batches(rows(), ["digest", "n_bytes", "keep_id", "group_size"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()])
@@ -238,10 +237,11 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that own their text, with all columns.
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all columns.
 
-    Only ids of dropped rows travel; texts are shuffled again only if those ids are too many to broadcast.
-    Ids must be unique: rows that share an id stay or go together.
+    Only ids and digests of dropped rows travel; texts are shuffled again only if those are too many to broadcast.
     """
-    dropped = checkpoint(exact_groups(docs, text_col, id_col).filter("not kept and doc_id is not null").select("doc_id").distinct())
-    return without_ids(docs, dropped, id_col)
+    gone, digest = scratch(docs, "_gone"), scratch(docs, "_digest")
+    dropped = stored(exact_groups(docs, text_col, id_col).filter("not kept").select(F.col("doc_id").alias(gone), F.unhex("text_sha256").alias(digest)).distinct())
+    own = F.unhex(F.sha2(F.regexp_replace(F.coalesce(quoted(text_col).cast("string"), F.lit("")), r"[ \t-\r]", ""), 256))
+    return docs.join(broadcast_if_small(dropped), quoted(id_col).cast("long").eqNullSafe(F.col(gone)) & (own == F.col(digest)), "left_anti").select(*every(docs))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, releasing, small_batches
+from .common import every, quoted, release, releasing, scratch, small_batches
 
 UNKNOWN = "und"
 ORDERS = 3
@@ -199,6 +199,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         finally:
             release()
 
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    judged = docs.withColumn("_judged", judge(F.col(text_col).cast("string")))
-    return judged.select(*(F.col(f"`{c}`") for c in keep), "_judged.lang_pred", "_judged.score")
+    made = scratch(docs, "_judged")
+    judged = docs.withColumn(made, judge(quoted(text_col).cast("string")))
+    return judged.select(*every(docs, ("lang_pred", "score")), f"{made}.lang_pred", f"{made}.score")

@@ -8,7 +8,7 @@ and its id lies below the rate's fraction.
 Defined results: a null or empty text has size 0 and is taken 0 words (its copies follow its source's
 rate); a null source is a source of its own, last in order; repeated rows with one id draw the same
 number; sources without words have target 0 and rate 0. An empty table gives an empty result. Extra
-columns stay, and an input column named like an output column is replaced.
+columns stay; ``repetitions`` replaces an input column named like one of its own, ``mix`` changes none.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, broadcast_if_small, checkpoint
+from .common import WORD_PATTERN, broadcast_if_small, every, quoted, stored
 
 WEIGHTS = (5, 2, 1)
 MADE = ("size", "source_size", "target", "rate", "copies")
@@ -50,19 +50,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("top") * F.col("w")).alias("target"))
 
 
-def repetitions(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
-    """``docs`` with size, source_size, target (both of its source), rate and copies."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MADE]
-    sized = docs.select(*keep, word_count(F.col(text_col)).alias("size"))
-    sizes = sized.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum("size").alias("source_size"))
-    plan = checkpoint(source_targets(sizes, weights, share, most).select(F.col("source").alias("_source"), "source_size", "target"))
-    joined = sized.join(broadcast_if_small(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_source"))).drop("_source")
-    joined = joined.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (draw(F.col(id_col), seed) < F.col("rate") - whole).cast("long")).cast("long"))
+def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """(of, source_size, target, rate) of each source, from (source, size) rows; materialised, one row a source."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return stored(source_targets(sizes, weights, share, most).select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate")))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves, with the columns of ``docs``: each document as often as its copies say."""
-    planned = repetitions(docs, **options)
-    return planned.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+def copies(rate: Column, key: Column, seed: int) -> Column:
+    whole = F.floor(rate)
+    return (whole + (draw(key, seed) < rate - whole).cast("long")).cast("long")
+
+
+def repetitions(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", size_col: str | None = None, seed: int = 42, **options) -> DataFrame:
+    """``docs`` with size, source_size, target (both of its source), rate and copies.
+
+    ``size_col`` names a column with sizes that are known already, so that texts aren't counted again.
+    """
+    size = quoted(size_col).cast("long") if size_col else word_count(quoted(text_col))
+    row = docs.select(F.struct(*every(docs, MADE)).alias("row"), quoted(source_col).cast("string").alias("source"), quoted(id_col).alias("id"), size.alias("size"))
+    plan = rates(row.select("source", "size"), **options)
+    joined = row.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("row.*", "size", "source_size", "target", "rate", copies(F.col("rate"), F.col("id"), seed).alias("copies"))
+
+
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = 42, **options) -> DataFrame:
+    """The mixed rows themselves, with all columns of ``docs`` as they are: each document as often as its copies say."""
+    plan = rates(docs.select(quoted(source_col).cast("string").alias("source"), word_count(quoted(text_col)).alias("size")), **options)
+    row = docs.select(F.struct(*every(docs)).alias("row"), quoted(source_col).cast("string").alias("source"), quoted(id_col).alias("id"))
+    joined = row.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("of")))
+    taken = joined.select("row", copies(F.col("rate"), F.col("id"), seed).alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

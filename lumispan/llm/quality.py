@@ -1,7 +1,7 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules come first (too few words; mostly repeated 3-word windows). Five signals may reject
-further documents, by one joint rule for each stratum (language): a document is rejected when any
+further documents, by one joint rule for each stratum (language; base rules are fixed and bear no guarantee): a document is rejected when any
 signal reaches its cutoff. One half of the labelled rows proposes the cutoffs; all of them, raised by
 one common number of bins, make a sequence of nested rules. The other half tests these from the
 loosest to the strictest by the exact binomial tail (a fixed sequence, which needs no correction) at
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, release, small_batches
+from .common import broadcast_if_small, every, quoted, release, scratch, small_batches, stored
 
 SIGNALS = ("symbols", "dup_lines", "repeats", "upper", "bars")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -83,9 +83,9 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         finally:
             release()
 
-    made = {c.lower() for c in (*COUNTS, *SIGNALS)}
-    out = docs.withColumn("_measured", measured(F.col(text_col).cast("string").cast("binary")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made), "_measured.*")
+    made = scratch(docs, "_measured")
+    out = docs.withColumn(made, measured(quoted(text_col).cast("string").cast("binary")))
+    return out.select(*every(docs, (*COUNTS, *SIGNALS)), f"{made}.*")
 
 
 def base_failed():
@@ -157,8 +157,8 @@ def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_co
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good"))
     hold = F.pmod(F.xxhash64(F.lit(29), F.col("_id")), F.lit(2)) == 1
     passed = measured.filter(~base_failed()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("stratum"), *(_bin(s).alias(s) for s in SIGNALS))
-    marked = checkpoint(passed.join(marks, "_id").select("stratum", hold.alias("hold"), (F.col("_good") > 0).alias("good"), *SIGNALS))
-    sizes = checkpoint(marked.groupBy("stratum").agg(F.count_if(F.col("hold") & F.col("good")).alias("n")))
+    marked = stored(passed.join(marks, "_id").select("stratum", hold.alias("hold"), (F.col("_good") > 0).alias("good"), *SIGNALS))
+    sizes = stored(marked.groupBy("stratum").agg(F.count_if(F.col("hold") & F.col("good")).alias("n")))
     strata = max(1, sizes.count())
     # P(X <= 1) for X ~ Binomial(n, alpha)
     small = F.pow(F.lit(1 - alpha), F.col("n") - 1) * (1 + (F.col("n") - 1) * alpha) > delta / strata
@@ -166,7 +166,7 @@ def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_co
     pooled = n_small > 1
     level = delta / (strata - n_small + 1 if pooled else strata)
     in_pool = small & F.lit(pooled)
-    groups = checkpoint(sizes.filter(F.lit(pooled) | ~small).select("stratum", F.struct(in_pool.alias("pool"), F.when(in_pool, "").otherwise(F.col("stratum")).alias("name")).alias("group")))
+    groups = stored(sizes.filter(F.lit(pooled) | ~small).select("stratum", F.struct(in_pool.alias("pool"), F.when(in_pool, "").otherwise(F.col("stratum")).alias("name")).alias("group")))
     marked = marked.join(broadcast_if_small(groups), "stratum")
     tuning = marked.filter("not hold").select("group", "good", F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("bin")) for s in SIGNALS))).alias("x"))
 
@@ -175,7 +175,7 @@ def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_co
         return pd.DataFrame([{"pool": key[0]["pool"], "name": key[0]["name"]} | found]).astype({f"w_{s}": "Int32" for s in SIGNALS})
 
     counts = tuning.groupBy("group", "x.signal", "x.bin", "good").agg(F.count("*").alias("n"))
-    wanted = checkpoint(counts.groupBy("group").applyInPandas(proposed, "pool boolean, name string, " + ", ".join(f"w_{s} int" for s in SIGNALS)).select(F.struct("pool", "name").alias("group"), *(f"w_{s}" for s in SIGNALS)))
+    wanted = stored(counts.groupBy("group").applyInPandas(proposed, "pool boolean, name string, " + ", ".join(f"w_{s} int" for s in SIGNALS)).select(F.struct("pool", "name").alias("group"), *(f"w_{s}" for s in SIGNALS)))
     # a row's joint bin: how far its furthest signal goes beyond the proposed cutoff, 1 at the cutoff, 0 below
     joint = F.greatest(F.lit(0), *(F.col(s) - F.col(f"w_{s}") + 1 for s in SIGNALS))
     scored = marked.join(broadcast_if_small(wanted), "group").groupBy("group", joint.alias("bin"), "hold", "good").agg(F.count("*").alias("n"))
@@ -186,8 +186,8 @@ def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_co
         return pd.DataFrame([{"pool": key[0]["pool"], "name": key[0]["name"], "at": at}]).astype({"at": "Int32"})
 
     chosen = scored.groupBy("group").applyInPandas(choose, "pool boolean, name string, at int").select(F.struct("pool", "name").alias("group"), "at")
-    rules = checkpoint(chosen.join(wanted, "group").select("group", *((F.col(f"w_{s}") + F.col("at") - 1).alias(f"b_{s}") for s in SIGNALS)))
-    return checkpoint(sizes.select("stratum").join(groups.join(rules, "group"), "stratum", "left").select("stratum", *(F.when(F.col(f"b_{s}") <= BINS, F.col(f"b_{s}")).alias(f"b_{s}") for s in SIGNALS)))
+    rules = stored(chosen.join(wanted, "group").select("group", *((F.col(f"w_{s}") + F.col("at") - 1).alias(f"b_{s}") for s in SIGNALS)))
+    return stored(sizes.select("stratum").join(groups.join(rules, "group"), "stratum", "left").select("stratum", *(F.when(F.col(f"b_{s}") <= BINS, F.col(f"b_{s}")).alias(f"b_{s}") for s in SIGNALS)))
 
 
 def _bin(signal: str):
@@ -196,10 +196,11 @@ def _bin(signal: str):
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """``measured`` with base_failed and kept."""
-    limits = cutoffs.withColumnRenamed("stratum", "_stratum")
+    names = {c: scratch(measured, f"_{c}") for c in cutoffs.columns}
+    limits = cutoffs.withColumnsRenamed(names)
     rejected = F.lit(False)
     for s in SIGNALS:
-        rejected = rejected | F.coalesce(_bin(s) >= F.col(f"b_{s}"), F.lit(False))
-    keep = [F.col(f"`{c}`") for c in measured.columns if c.lower() not in ("base_failed", "kept")]
-    joined = measured.withColumn("_key", F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0"))).join(broadcast_if_small(limits), F.col("_key") == F.col("_stratum"), "left")
-    return joined.select(*keep, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+        rejected = rejected | F.coalesce(_bin(s) >= F.col(names[f"b_{s}"]), F.lit(False))
+    stratum = F.coalesce(quoted(stratum_col).cast("string"), F.lit("\0"))
+    joined = measured.join(broadcast_if_small(limits), stratum == F.col(names["stratum"]), "left")
+    return joined.select(*every(measured, ("base_failed", "kept")), base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))

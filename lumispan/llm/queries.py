@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, langid, licenses, minhash, mixing, oracles, pieces, quality, sharding, urlfilter
-from .common import checkpoint, table
+from .common import stored, table
 
 # The rules of the url query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -35,7 +35,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = checkpoint(quality.features(docs).drop("text"))
+    measured = stored(quality.features(docs).drop("text"))
     cutoffs = quality.fit(measured, table(spark, sf_dir, "labels"))
     return quality.judge(measured, cutoffs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
@@ -50,7 +50,9 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.repetitions(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # words are counted once
+    sized = stored(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
+    planned = mixing.repetitions(sized, size_col="words")
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

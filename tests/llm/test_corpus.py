@@ -1,6 +1,7 @@
 """Corpus operators against brute force, the library they must equal, SQL, and odd inputs."""
 
 import hashlib
+import math
 import os
 import random
 import textwrap
@@ -125,6 +126,38 @@ def test_language_scores_whole_texts(spark):
         langid.train(spark.createDataFrame(rows, DOCS), max_languages=1)
 
 
+def test_language_against_brute_force(spark):
+    # posteriors by plain loops: counts of hashed windows, add-one-half smoothing, priors by all labelled rows
+    rng = random.Random(13)
+    vocab = {"en": "the and of Stone, water's?", "de": "der schöne und Straße Wasser", "fr": "l'eau très bon à été"}
+    make = lambda lang: " ".join(rng.choice(vocab[lang].split()) for _ in range(rng.randrange(3, 30)))
+    rows = [(i, make(lang), lang, "s", 1) for i, lang in enumerate(rng.choices(["en", "de", "fr"], [3, 2, 1], k=90))]
+    model = langid.train(spark.createDataFrame(rows, DOCS), docs_per_language=10**6, bits=12)
+
+    def windows(text):
+        text = "".join(c if c.isalpha() else " " for c in text.lower())
+        for k in (1, 2, 3):
+            for at in range(len(text) - k + 1):
+                gram = text[at : at + k]
+                if any(c.isalpha() for c in gram):
+                    h = 0
+                    for c, m in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                        h = (h + ord(c) * m) & 0xFFFFFFFF
+                        h ^= h >> 15
+                        h = h * 0x2C1B3C6D & 0xFFFFFFFF
+                    yield h >> 20
+
+    counts = {lang: Counter(w for _, t, x, *_ in rows if x == lang for w in windows(t)) for lang in vocab}
+    total = {lang: sum(c.values()) + 0.5 * 4096 for lang, c in counts.items()}
+    prior = Counter(r[2] for r in rows)
+    texts = [make("en") + " " + make("de") for _ in range(40)] + ["x", "é", "UND THE", "12 a 34"]
+    labels, scores = langid.score_texts(model, texts)
+    for t, label, score in zip(texts, labels, scores):
+        logs = {lang: math.log(prior[lang] / 90) + sum(math.log((counts[lang][w] + 0.5) / total[lang]) for w in windows(t)) for lang in sorted(vocab)}
+        best = max(logs, key=logs.get)
+        assert label == best and abs(score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-3
+
+
 # -- 2 exact dedup
 
 
@@ -162,7 +195,11 @@ def test_exact_dedup_keeps_columns(spark):
     docs = odd(spark).withColumn("keep_id", F.lit("mine"))
     out = exact_dedup.dedup(docs)
     assert out.columns == docs.columns
-    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 3, 5, 6, 7, 9, 10]
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == [3, 5, 6, 7, 9, 10]  # a null id loses, as in the groups
+    # a repeated id with two texts: only the copy goes; names with dots and backticks, and those of outputs, stay
+    rows = [(1, "a", 7), (1, "b c", 8), (2, "b  c", 9), (None, "z", 1), (None, "z", 2)]
+    odd_names = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumnRenamed("n", "x.y`z").withColumn("_gone", F.lit(1))
+    assert sorted(tuple(r)[1:3] for r in exact_dedup.dedup(odd_names).collect()) == [("a", 7), ("b  c", 9), ("z", 1), ("z", 2)]
     assert exact_dedup.exact_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -352,6 +389,65 @@ def test_quality_certifies_with_production_parameters(spark):
         assert part[part["quality"] == 1]["kept"].mean() >= 0.98 and part[part["quality"] == 0]["kept"].mean() < 0.1
 
 
+def kept_brute(docs, labels, alpha=0.02, delta=0.05):
+    """``kept`` of every document by plain loops over the rule of the docstring; halves are taken from ``hold``."""
+    measured = {}
+    for i, t, lang, hold in docs:
+        m = quality.measure((t or "").encode())
+        measured[i] = (m[0] < 50 or 100 * m[4] > 50 * m[0], lang, hold, [min(64, math.ceil(x * 64)) for x in m[5:]])
+    rows = [(*measured[i][1:], q > 0) for i, q in labels.items() if i in measured and not measured[i][0]]
+    good_hold = Counter({lang: 0 for lang, *_ in rows}) + Counter(lang for lang, hold, _, good in rows if hold and good)
+    strata = {lang for lang, *_ in rows}
+    tail = lambda k, n: sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1))
+    small = {x for x in strata if tail(1, good_hold[x]) > delta / len(strata)}
+    groups = [{x} for x in strata - small] + ([small] if len(small) > 1 else [])
+    level = delta / (len(strata - small) + 1 if len(small) > 1 else len(strata))
+    rule = {}
+    for group in groups:
+        tune = [(b, good) for lang, hold, b, good in rows if lang in group and not hold]
+        held = [b for lang, hold, b, good in rows if lang in group and hold and good]
+        n_good, n_bad = sum(g for _, g in tune), sum(not g for _, g in tune)
+        cut = []
+        for k in range(5):
+            gain = [(sum(b[k] >= c and not g for b, g in tune) / max(1, n_bad) - sum(b[k] >= c and g for b, g in tune) / max(1e-9, alpha * n_good), c) for c in range(1, 65)]
+            best = max(gain)
+            cut.append(best[1] if n_good and n_bad and best[0] > alpha else None)
+        joint = lambda b, cut=cut: max([0, *(v - c + 1 for v, c in zip(b, cut) if c is not None)])
+        gain = [(sum(joint(b) >= c and not g for b, g in tune) / max(1, n_bad) - sum(joint(b) >= c and g for b, g in tune) / max(1, n_good), c) for c in range(1, 65)]
+        want, certified = max(gain)[1] if n_good and n_bad and max(gain)[0] > 0 else 65, None
+        for c in range(64, want - 1, -1):
+            wrong = sum(joint(b) >= c for b in held)
+            if not held or wrong > alpha * len(held) or tail(wrong, len(held)) > level:
+                break
+            certified = c
+        for x in group:
+            rule[x] = lambda b, joint=joint, certified=certified: certified is not None and joint(b) >= certified
+    return {i: not base and not (lang in rule and rule[lang](bins)) for i, (base, lang, _, bins) in measured.items()}, groups
+
+
+def test_quality_kept_against_brute_force(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    spoil = [lambda: " #####" * rng.randrange(1, 30), lambda: "\nthe same line of text here" * rng.randrange(2, 12), lambda: " | " * rng.randrange(3, 40), lambda: " " + words(rng.randrange(10, 60)).upper()]
+    rows, labels = [], {}
+    for lang, n in (("en", 2600), ("de", 700), ("fr", 300), ("es", 250), (None, 30)):
+        for _ in range(n):
+            bad = rng.random() < 0.25
+            text = words(rng.randrange(40, 70)) + (rng.choice(spoil)() if bad or rng.random() < 0.02 else "")
+            if rng.random() < 0.9:
+                labels[len(rows)] = 0 if bad and rng.random() < 0.95 else 1
+            rows.append((len(rows), text, lang, "s", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    hold = {r["doc_id"]: r["h"] for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(2)) == 1).alias("h")).collect()}
+    want, groups = kept_brute([(i, t, lang, hold[i]) for i, t, lang, *_ in rows], labels)
+    measured = quality.features(docs.withColumn("_measured", F.lit(1)).withColumn("stratum", F.lit("x")))
+    cutoffs = quality.fit(measured, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(measured, cutoffs).collect()}
+    assert {i for i in want if got[i] != want[i]} == set()
+    passed = {r["doc_id"] for r in quality.judge(measured, cutoffs).filter("not base_failed").collect()}
+    assert sum(not want[i] for i in passed) > 100 and len(groups) == 2  # en and a pool
+
+
 # -- 5 sharding
 
 
@@ -461,6 +557,13 @@ def test_mixing(spark):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == out["copies"].sum()
     assert mixing.mix(docs).exceptAll(mixed).count() == 0
+    # the caller's columns stay as they are, whatever their names
+    named = docs.withColumns({"size": F.lit(777), "_copy": F.lit("keep"), "rate": F.lit("r")}).withColumn("x.y", F.lit(3))
+    kept = mixing.mix(named)
+    assert kept.columns == named.columns and {tuple(r)[5:] for r in kept.collect()} == {(777, "keep", "r", 3)} and kept.count() == mixed.count()
+    assert mixing.mix(docs.limit(0)).count() == 0
+    known = mixing.repetitions(spark.createDataFrame(rows, DOCS).select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), size_col="words").toPandas()
+    assert known["copies"].sum() == out["copies"].sum() and np.allclose(sorted(known["target"]), sorted(out["target"]))
     assert mixing.repetitions(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -699,8 +802,8 @@ def test_near_dedup_odd_rows(spark):
     got = minhash.near_groups(docs).collect()
     assert len(got) == len(ODD) and [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in (1, 2, 3, 4, 5, 8)} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 8: 4}
-    out = minhash.near_dedup(docs)
-    assert out.columns == docs.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 6, 7, 9, 10]
+    out = minhash.near_dedup(docs.withColumn("x.y", F.lit(1)).withColumn("_gone", F.lit(2)))
+    assert out.columns == [*docs.columns, "x.y", "_gone"] and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 6, 7, 9, 10]
     assert minhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -741,6 +844,35 @@ def test_pipeline_against_brute_force(spark):
         rate = target[source[i]] / sizes[source[i]]
         draw = int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16) / 2**32
         ids = lib.encode(t, add_eos=True)
-        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += int(rate) + (draw < rate - int(rate))
-    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF).collect())
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()] += int(rate) + (draw < rate - int(rate))
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == +want and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [*ODD, (20, long, None, None, None), (21, long + " ", "en", "a", 1), (22, long + " more", "xx", "b", 1), (23, " ".join(f"v{k}" for k in range(80)), None, None, 1), (None, " ".join(f"u{k}" for k in range(80)), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"kept": F.lit("x"), "size": F.lit(3), "component_id": F.lit(1)}).withColumn("x.y", F.lit(0))
+    for name, frame in (("documents", docs), ("labels", spark.createDataFrame([(1, 1), (None, None), (20, 0)], "doc_id long, quality int"))):
+        frame.write.parquet(str(tmp_path / f"{name}.parquet"))
+    empty = docs.limit(0)
+    ids = lambda frame: sorted(r["doc_id"] or 0 for r in frame.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "sentencepiece":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        got = ids(out)
+        if name == "quality_rules":
+            assert got == [0, 20, 21, 22, 23]
+        elif name == "exact_dedup":
+            assert got == [0, 3, 5, 6, 7, 9, 10, 21, 22, 23]
+        elif name == "minhash_near_dedup":
+            assert got == [0, 0, 1, 2, 3, 4, 6, 7, 9, 10, 20, 23]
+        elif name == "sentencepiece":
+            assert got == sorted(r[0] or 0 for r in rows)
+        else:
+            assert set(got) <= {r[0] or 0 for r in rows} and max(Counter(i for i in got if i not in (0, 8)).values()) <= 2
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 20, 21, 22, 23}
