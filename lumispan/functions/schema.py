@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 KEY = ["trace_id", "span_id"]
 DIMENSIONS = ("agent", "model", "tool", "team", "status")
 

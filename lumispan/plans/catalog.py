@@ -5,14 +5,19 @@ Each entry is a pair: a function of (spark, folder of tables) and DuckDB SQL wit
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import SpanFilter, TimeRange
-from ..functions.schema import fill
+from ..functions.predicates import SpanFilter, TimeRange, in_range
+from ..functions.schema import SPAN_SCHEMA, fill
 from ..functions.validation import split, validate
 from ..operators import aggregates, live, rollups, scans
 from ..sources import otlp
+from ..sources.files import shared_folder
+from ..sources.store import SpanStore
+from . import maintenance
 from .views import FROM_NS, KEY, SEQUENCE, SPLIT, TO_NS, lineitem_log, read, span_cte, spans
 
 RANGE = TimeRange(FROM_NS, TO_NS)
@@ -129,8 +134,6 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("live_spans", lambda s, d: _live(s, d).select(*_LIVE), f"select {', '.join(_LIVE)} from ({_LAST})")
 _add("live_filtered", lambda s, d: _live(s, d).filter("l_extendedprice between 20000 and 30000").select(*_LIVE), f"select {', '.join(_LIVE)} from ({_LAST}) where l_extendedprice between 20000 and 30000")
-_add("compacted", lambda s, d: live.resolve(None, lineitem_log(s, d), key=KEY, order=SEQUENCE).groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("part")).agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity")), f"select strftime(l_shipdate, '%Y-%m') part, count(*) \"rows\", sum(l_quantity) quantity from ({_LAST}) group by 1")
-
 
 def _written(sp: DataFrame, changes: DataFrame) -> DataFrame:
     """Live spans after ``changes`` (rows with _deleted, _batch) to a base of all spans."""
@@ -144,28 +147,19 @@ def _deleted(sp: DataFrame, where: str, batch: int = 1) -> DataFrame:
 _on_spans("live_after_delete_span", lambda sp: _written(sp, _deleted(sp, "trace_id = 't8' and span_id = 's0'")), f"select {SHOWN} from sp where not (trace_id = 't8' and span_id = 's0')")
 _on_spans("live_after_delete_trace", lambda sp: _written(sp, _deleted(sp, "trace_id = 't8'")), f"select {SHOWN} from sp where trace_id <> 't8'")
 _on_spans("live_after_reinsert", lambda sp: _written(sp, _deleted(sp, "team = 'team-3'").unionByName(sp.filter("team = 'team-3' and tool = 'view'").withColumns({"model": F.lit("model-new"), "_deleted": F.lit(False), "_batch": F.lit(2)}))), f"select {SHOWN.replace('model,', 'case when team = ' + chr(39) + 'team-3' + chr(39) + ' then ' + chr(39) + 'model-new' + chr(39) + ' else model end model,')} from sp where team <> 'team-3' or tool = 'view'")
-_on_spans("expired", lambda sp: _whole_days(sp), f"select {SHOWN} from sp where start_ns // 86400000000000 in (select start_ns // 86400000000000 from sp group by 1 having max(start_ns) >= {FROM_NS + 43_200_000_000_000})")
-
-
-def _whole_days(sp: DataFrame) -> DataFrame:
-    """Retention drops a day only once its newest span is before the cutoff."""
-    cutoff = FROM_NS + 43_200_000_000_000
-    days = sp.groupBy(F.expr("start_ns div 86400000000000").alias("d")).agg(F.max("start_ns").alias("high")).filter(F.col("high") >= cutoff)
-    return sp.withColumn("d", F.expr("start_ns div 86400000000000")).join(days, "d", "left_semi").select(*COLUMNS)
-
 
 # -- validation
 
 _BREAKS = {
-    1: ("trace_id", "''", "TraceID", "must not be empty"),
-    2: ("span_id", "''", "SpanID", "must not be empty"),
-    3: ("model", "repeat('é', 129)", "Model", "longer than 256 bytes"),
-    4: ("start_ns", "946684799999999999", "Start", "must be between years 2000 and 2100"),
-    5: ("latency_ms", "-1", "Duration", "must not be negative"),
-    6: ("tokens_in", "-1", "Tokens", "must not be negative"),
-    7: ("cost_usd", "-0.01", "CostUSD", "must be a finite, non-negative number"),
-    8: ("payload", "'{nope'", "Payload", "must be valid JSON"),
-    9: ("cost_usd", "cast('NaN' as double)", "CostUSD", "must be a finite, non-negative number"),
+    1: ("trace_id", "''", "TraceID", "is empty"),
+    2: ("span_id", "''", "SpanID", "is empty"),
+    3: ("model", "repeat('é', 129)", "Model", "has more than 256 bytes"),
+    4: ("start_ns", "946684799999999999", "Start", "is outside of the years 2000 to 2099"),
+    5: ("latency_ms", "-1", "Duration", "is negative"),
+    6: ("tokens_in", "-1", "Tokens", "is negative"),
+    7: ("cost_usd", "-0.01", "CostUSD", "is negative or not finite"),
+    8: ("payload", "'{nope'", "Payload", "is no JSON"),
+    9: ("cost_usd", "cast('NaN' as double)", "CostUSD", "is negative or not finite"),
 }
 
 
@@ -234,21 +228,121 @@ _add(
 _add(
     "otlp_rejections",
     lambda s, d: split(_spans(s, d))[1].select("user_id", "index", "error.field", "error.reason"),
-    _OTLP + """select user_id, i "index", case event_id % 10 when 3 then 'startTimeUnixNano' else 'TraceID' end field, case event_id % 10 when 3 then 'is not an integer' else 'must not be empty' end reason
+    _OTLP + """select user_id, i "index", case event_id % 10 when 3 then 'startTimeUnixNano' else 'TraceID' end field, case event_id % 10 when 3 then 'is no whole number' else 'is empty' end reason
       from e where event_id % 10 in (3, 7)""",
 )
 
-# -- integrity
+# whole requests that cannot be read, and what becomes of spans in one frame with them
+_SHAPES = ("'{}'", """'{"resourceSpans":5}'""", """'{"resourceSpans":[5]}'""", """'{"resourceSpans":[{"scopeSpans":[{"spans":"x"}]}]}'""", "'{nope'", "'[]'", """'{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"","spanId":"s"}]}]}]}'""", """'{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"s' || cast(event_id as varchar(20)) || '","startTimeUnixNano":1704067200000000000}]}]}]}'""")
+_BODY = " ".join(["case event_id % 8", *(f"when {i} then {x}" for i, x in enumerate(_SHAPES)), "end"])
 
 
-def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the log with more than one row, and base rows that a later write supersedes."""
-    log = lineitem_log(spark, sf_dir)
-    counted = log.groupBy(*KEY).agg(F.count("*").alias("n"))
-    return counted.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.sum(F.col("n") - 1).alias("superseded_rows"))
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr("event_id", f"{_BODY} as body")
+
+
+_add("otlp_problems", lambda s, d: otlp.rejections_of(_shaped(s, d)).withColumn("index", F.coalesce("index", F.lit(-1))), """select event_id, case event_id % 8 when 6 then 0::bigint else -1 end "index", case event_id % 8 when 6 then 'TraceID' else 'request' end field,
+  case event_id % 8 when 6 then 'is empty' else 'invalid' end reason from events where event_id % 8 between 1 and 6""")
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request an event, with costs, repeated keys, attributes of all kinds and token counts beyond 32 bits."""
+    attributes = """concat_ws(',', '{"key":"wisp.cost_usd","value":{' || case event_id % 4 when 0 then '"doubleValue":0.25' when 1 then '"intValue":"3"' when 2 then '"stringValue":"1.5"' else '"boolValue":true' end || '}}',
+      '{"key":"note","value":{"stringValue":"first"}}', '{"key":"flag","value":{"boolValue":' || case when event_id % 2 = 0 then 'true' else 'false' end || '}}',
+      '{"key":"note","value":{"stringValue":"say \\\\"' || event_type || '\\\\""}}', '{"key":"ratio","value":{"doubleValue":0.5}}', '{"key":"many","value":{"arrayValue":{"values":[1,2]}}}',
+      '{"key":"gen_ai.request.model","value":{"stringValue":"early"}}', '{"key":"gen_ai.request.model","value":{"stringValue":"model-' || cast(user_id % 5 as varchar(20)) || '"}}',
+      '{"key":"gen_ai.response.model","value":{"stringValue":""}}', '{"key":"gen_ai.usage.prompt_tokens","value":{' || case event_id % 3 when 0 then '"intValue":"99999999999"' when 1 then '"doubleValue":7.9' else '"stringValue":"41"' end || '}}',
+      '{"key":"gen_ai.usage.output_tokens","value":{"intValue":' || case when event_id % 5 = 0 then '-1' else '2' end || '}}', '{"key":"wisp.team","value":{"stringValue":"own"}}')"""
+    body = f"""'{{"resourceSpans":[{{"resource":{{"attributes":[{{"key":"wisp.team","value":{{"stringValue":"shared"}}}}]}},"scopeSpans":[{{"spans":[{{"traceId":"t","spanId":"s' || cast(event_id as varchar(20)) || '","startTimeUnixNano":"1.7e18","name":"call","attributes":[' || {attributes} || ']}}]}}]}}]}}'"""
+    return otlp.spans_of(read(spark, sf_dir, "events").selectExpr("event_id", f"{body} as body"))
+
+
+_add(
+    "otlp_costs",
+    lambda s, d: _priced(s, d).select("event_id", "start_ns", "model", "team", "tokens_in", "cost_usd", "payload", F.col("error.field").alias("rejected")),
+    """select event_id, 1700000000000000000::bigint start_ns, 'model-' || (user_id % 5) model, 'own' team, (case event_id % 3 when 0 then 2147483647 when 1 then 7 else 41 end)::int tokens_in,
+      (case event_id % 4 when 0 then 0.25 when 1 then 3 when 2 then 1.5 else 0 end)::double cost_usd,
+      '{"attributes":{"flag":' || (event_id % 2 = 0) || ',"many":{"values":[1,2]},"note":"say \\"' || event_type || '\\"","ratio":0.5},"name":"call"}' payload, case when event_id % 5 = 0 then 'Tokens' end rejected from events""",
+)
+
+# -- through a store in the shared folder: ingest, overwrite, delete, compaction, retention, check
+
+_CUTOFF = FROM_NS + 43_200_000_000_000
+_LATER = "trace_id <> 't8' and (cast(substr(span_id, 2) as bigint) % 3 <> 0 or tool <> 'view')"
+_MOVED = "cast(substr(span_id, 2) as bigint) % 3 = 0 and tool = 'click'"
+
+
+def _new_store(spark: SparkSession, **options) -> SpanStore:
+    return SpanStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", **({"retention_days": 0} | options))
+
+
+def _filled(spark: SparkSession, sf_dir: str, compact_first: bool = True) -> SpanStore:
+    """All spans, then a third of the clicks again one day later with another model, a third of the views deleted, and trace t8 deleted."""
+    store, sp = _new_store(spark), spans(spark, sf_dir)
+    store.ingest_frame(sp)
+    if compact_first:
+        maintenance.compact(store)
+    third = F.expr("cast(substring(span_id, 2) as bigint) % 3 = 0")
+    again = sp.filter(third & (F.col("tool") == "click")).withColumns({"model": F.lit("model-new"), "start_ns": F.col("start_ns") + 86_400_000_000_000})
+    store.ingest_frame(again)
+    store._delete(sp.filter(third & (F.col("tool") == "view")))
+    store.delete_trace("t8")
+    return store
+
+
+_NOW = f"""live as (select trace_id, span_id, case when {_MOVED} then start_ns + 86400000000000 else start_ns end start_ns, latency_ms, agent, case when {_MOVED} then 'model-new' else model end model, tool, team, status, tokens_in, tokens_out, cost_usd from sp where {_LATER})"""
+
+
+def _through(name: str, query, sql: str) -> None:
+    _add(name, query, f"with {span_cte()}, {_NOW}{'' if sql.startswith(',') else ' '}{sql}")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _filled(spark, sf_dir)
+    maintenance.compact(store)
+    return store.spans().select(*COLUMNS)
+
+
+def _partly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest two of four batches merged, the others still in the log; only the days of a range are opened."""
+    store = _filled(spark, sf_dir, compact_first=False)
+    maintenance.compact(store, 2)
+    return store.spans(RANGE).filter(in_range(RANGE)).select(*COLUMNS)
+
+
+def _expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark, retention_days=7, clock=lambda: _CUTOFF + 7 * 86_400_000_000_000)
+    store.ingest_frame(spans(spark, sf_dir))
+    maintenance.compact(store)
+    maintenance.expire(store)
+    return store.spans().select(*COLUMNS)
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _filled(spark, sf_dir)
+    report = maintenance.check(store)
+    store.folder.remove(store.state["log"][-1]["path"])
+    damaged = maintenance.check(store)
+    return spark.createDataFrame([(report.ok, report.superseded, len(damaged.errors))], "ok boolean, superseded long, errors_when_damaged long")
+
+
+def _stored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _new_store(spark)
+    n, bad = store.ingest_otlp_frame(_requests(spark, sf_dir).select("body"))
+    counted = bad.groupBy("field").agg(F.count("*").alias("n")).unionAll(spark.createDataFrame([("accepted", n)], "field string, n long"))
+    return counted.unionAll(store.spans().agg(F.lit("live").alias("field"), F.count("*").alias("n")))
 
 
-_add("integrity_report", _integrity, f"select count(*) \"keys\", count(*) filter (n > 1) repeated_keys, sum(n - 1)::bigint superseded_rows from (select {', '.join(KEY)}, count(*) n from lineitem group by all)")
+_through("store_live", lambda s, d: _filled(s, d).spans().select(*COLUMNS), f"select {SHOWN} from live")
+_through("compacted", _compacted, f"select {SHOWN} from live")
+_through("compacted_partly", _partly, f"select {SHOWN} from live where {IN_RANGE}")
+_through("store_get_trace", lambda s, d: s.createDataFrame([tuple(r[c] for c in COLUMNS) for r in _filled(s, d).trace("t9")], ", ".join(f"{f.name} {f.dataType.simpleString()}" for c in COLUMNS for f in SPAN_SCHEMA if f.name == c)), f"select {SHOWN} from live where trace_id = 't9'")
+_through("store_rollup", lambda s, d: _filled(s, d).rollup("1d", RANGE), f", written as (select * from sp union all select * replace (start_ns + 86400000000000 as start_ns, 'model-new' as model) from sp where {_MOVED}) select * from ({_bucket_sql('1d', 'written')}) where window_start_ns >= {FROM_NS} and window_start_ns < {TO_NS}")
+_through("expired", _expired, f"select {SHOWN} from sp where start_ns // 86400000000000 in (select start_ns // 86400000000000 from sp group by 1 having max(start_ns) >= {_CUTOFF})")
+_through("integrity_report", _checked, f"select true ok, count(*) superseded, 1::bigint errors_when_damaged from sp where not ({_LATER}) or {_MOVED}")
+_add("otlp_stored", _stored_requests, """select case event_id % 10 when 3 then 'startTimeUnixNano' when 7 then 'TraceID' else 'accepted' end field, count(*) n from events group by 1
+  union all select 'live', count(*) from events where event_id % 10 not in (3, 7)""")
+_on_spans("distinct_all_values", lambda sp: aggregates.all_distinct(sp, "agent", RANGE), f"select distinct agent from sp where {IN_RANGE} and agent <> ''")
 
 
 def queries() -> dict:

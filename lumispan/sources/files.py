@@ -1,13 +1,26 @@
-"""Small files through Hadoop's file system API, so that a store may lie wherever Spark can write."""
+"""Small files through Hadoop's file system API, so that a store may lie wherever Spark can write.
+
+A commit's name is taken by a rename that must not replace a file. HDFS and local folders refuse that
+in one step; on an object store, where a rename is a copy, give a store one writer.
+"""
 
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session may do without, in a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or tempfile.mkdtemp(prefix="lumispan-")).rstrip("/")
+
+
 class Folder:
     """A folder on any file system that Spark knows."""
 

@@ -1,7 +1,9 @@
 """OTLP/JSON trace requests as spans, in column expressions.
 
-Differences from a strict decoder: field names match case-sensitively; numbers given as text, and
-scalars of another type, are read as text. A NaN or infinite cost is rejected by validation.
+A request whose lists and objects are not where they belong is a problem as a whole, none of its spans
+is read. Differences from a strict decoder: field names match case-sensitively; in frames of requests,
+scalars of another type are read as text (``decodable`` is strict, for single requests). A NaN or
+infinite cost is rejected by validation.
 """
 
 from __future__ import annotations
@@ -82,11 +84,19 @@ def _json_value(v: Column) -> Column:
     )
 
 
-def payload(name: Column, message: Column, attributes: Column) -> Column:
-    """{name, status_message, attributes} as JSON, without empty parts; null if all are empty. Valid by construction."""
-    free = F.filter(attributes, lambda a: ~a["key"].isin(*CONSUMED))
-    last = F.filter(free, lambda a, i: ~F.exists(F.slice(free, i + 2, F.greatest(F.size(free), F.lit(1))), lambda b: b["key"] == a["key"]))
-    items = F.transform(F.array_sort(F.transform(last, lambda a: F.struct(a["key"].alias("k"), _json_value(a["value"]).alias("v")))), lambda e: F.concat(_quoted(e["k"]), F.lit(":"), F.coalesce(e["v"], F.lit("null"))))
+def free_attributes(attributes: Column) -> Column:
+    """(k, i, value) of the attributes that have no column of their own, sorted by key and position."""
+    free = F.filter(attributes, lambda a: ~F.coalesce(a["key"], F.lit("")).isin(*CONSUMED))
+    return F.sort_array(F.transform(free, lambda a, i: F.struct(F.coalesce(a["key"], F.lit("")).alias("k"), i.alias("i"), _json_value(a["value"]).alias("v"))))
+
+
+def payload(name: Column, message: Column, free: Column) -> Column:
+    """{name, status_message, attributes} as JSON, without empty parts; null if all are empty. Valid by construction.
+
+    ``free``: a column with ``free_attributes``; of equal keys, which are neighbours there, the last one counts.
+    """
+    last = F.filter(free, lambda e, i: ~F.get(free, i + 1)["k"].eqNullSafe(e["k"]))
+    items = F.transform(last, lambda e: F.concat(_quoted(e["k"]), F.lit(":"), F.coalesce(e["v"], F.lit("null"))))
     part = lambda key, text: F.concat(F.lit(f'"{key}":'), text)
     parts = F.array_compact(
         F.array(
@@ -106,15 +116,51 @@ def parse(requests: DataFrame, body: str = "body") -> DataFrame:
     return out.withColumn("problem", problem).drop("_big")
 
 
+def decodable(request) -> bool:
+    """Whether a parsed request has strings, numbers, lists and objects where they belong; anything may be missing or null."""
+    text = lambda *keys: lambda d: all(d.get(k) is None or isinstance(d[k], str) for k in keys)
+
+    def value(v: dict) -> bool:
+        number, flag = v.get("doubleValue"), v.get("boolValue")
+        return text("stringValue")(v) and (number is None or isinstance(number, (int, float)) and not isinstance(number, bool)) and (flag is None or isinstance(flag, bool))
+
+    def objects(v, each) -> bool:
+        return v is None or isinstance(v, list) and all(x is None or isinstance(x, dict) and each(x) for x in v)
+
+    def one(v, each) -> bool:
+        return v is None or isinstance(v, dict) and each(v)
+
+    attributes = lambda v: objects(v, lambda a: text("key")(a) and one(a.get("value"), value))
+    span = lambda s: text("traceId", "spanId", "parentSpanId", "name")(s) and attributes(s.get("attributes")) and one(s.get("status"), text("message"))
+    scope = lambda s: objects(s.get("spans"), span)
+    resource = lambda r: one(r.get("resource"), lambda x: attributes(x.get("attributes"))) and objects(r.get("scopeSpans"), scope)
+    return one(request, lambda r: objects(r.get("resourceSpans"), resource)) and request is not None
+
+
+def problems_of(requests: DataFrame, body: str = "body") -> DataFrame:
+    """The requests of which nothing is read, without their bodies, and ``problem``."""
+    return parse(requests, body).filter("problem is not null").drop(body, "request")
+
+
+def rejections_of(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Everything that is not stored: (the request's other columns, index, field, reason); a whole request has no index and field ``request``."""
+    kept = [c for c in requests.columns if c != body]
+    spans = spans_of(requests, body).filter("error is not null").select(*kept, "index", "error.field", "error.reason")
+    whole = problems_of(requests, body).select(*kept, F.lit(None).cast("long").alias("index"), F.lit("request").alias("field"), F.col("problem").alias("reason"))
+    return spans.unionByName(whole)
+
+
 def spans_of(requests: DataFrame, body: str = "body") -> DataFrame:
-    """All spans of whole requests, with the request's other columns, ``index`` (request order) and ``error`` (first broken rule or null)."""
+    """All spans of whole requests (others are in ``problems_of``), with the request's other columns, ``index`` (request order) and ``error`` (first broken rule or null)."""
     kept = [c for c in requests.columns if c != body]
     parsed = parse(requests, body).filter("problem is null")
     nested = F.flatten(F.transform(F.coalesce("request.resourceSpans", F.array().cast(f"array<struct<resource:struct<attributes:{_ATTRIBUTES}>, scopeSpans:array<struct<spans:array<{_SPAN}>>>>>")), lambda r: F.transform(F.flatten(F.transform(r["scopeSpans"], lambda s: F.coalesce(s["spans"], F.array().cast(f"array<{_SPAN}>")))), lambda s: F.struct(r["resource"]["attributes"].alias("resource"), s.alias("s")))))
     rows = parsed.select(*kept, F.posexplode(nested).alias("index", "x")).select(*kept, F.col("index").cast("long").alias("index"), "x.resource", "x.s.*")
     none = F.array().cast(_ATTRIBUTES)
     rows = rows.withColumns({"attributes": F.coalesce("attributes", none), "resource": F.coalesce("resource", none), "t0": _nanos(F.col("startTimeUnixNano")), "t1": _nanos(F.col("endTimeUnixNano"))})
-    a, code = F.col("attributes"), F.upper(F.trim(F.coalesce("status.code", F.lit(""))))
+    # few attributes are left for the lookups, and the others are sorted once
+    rows = rows.withColumns({"known": F.filter("attributes", lambda a: a["key"].isin(*CONSUMED)), "free": free_attributes(F.col("attributes"))})
+    a, code = F.col("known"), F.upper(F.trim(F.coalesce("status.code", F.lit(""))))
     mapped = rows.select(
         *kept,
         "index",
@@ -131,8 +177,8 @@ def spans_of(requests: DataFrame, body: str = "body") -> DataFrame:
         _tokens(_first(a, TOKENS_IN_KEYS, _as_integer)).alias("tokens_in"),
         _tokens(_first(a, TOKENS_OUT_KEYS, _as_integer)).alias("tokens_out"),
         _first(a, COST_KEYS, _as_double).alias("cost_usd"),
-        payload(F.coalesce("name", F.lit("")), F.coalesce("status.message", F.lit("")), a).alias("payload"),
-        F.coalesce(*(F.when(F.col(c).isNull(), F.struct(F.lit(f).alias("field"), F.lit("is not an integer").alias("reason"))) for c, f in (("t0", "startTimeUnixNano"), ("t1", "endTimeUnixNano")))).alias("unread"),
+        payload(F.coalesce("name", F.lit("")), F.coalesce("status.message", F.lit("")), F.col("free")).alias("payload"),
+        F.coalesce(*(F.when(F.col(c).isNull(), F.struct(F.lit(f).alias("field"), F.lit("is no whole number").alias("reason"))) for c, f in (("t0", "startTimeUnixNano"), ("t1", "endTimeUnixNano")))).alias("unread"),
     )
     checked = validate(fill(mapped), built_payload=True)
     return checked.withColumn("error", F.coalesce("unread", "error")).select(*kept, "index", *PUBLIC, "error")

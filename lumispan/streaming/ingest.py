@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.schema import SPAN_SCHEMA
-from ..functions.validation import split
 from ..sources import otlp
 from ..sources.store import SpanStore
 
@@ -36,13 +34,17 @@ def start_ingest(stream: DataFrame, store: SpanStore, checkpoint: str, name: str
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_otlp_ingest(stream: DataFrame, store: SpanStore, checkpoint: str, name: str = "otlp", trigger: dict | None = None) -> StreamingQuery:
-    """Append the spans of every micro-batch of requests (a column ``body``)."""
+def start_otlp_ingest(stream: DataFrame, store: SpanStore, checkpoint: str, name: str = "otlp", trigger: dict | None = None, rejected: str | None = None) -> StreamingQuery:
+    """Append the spans of every micro-batch of requests (a column ``body``; others are kept in rejections).
+
+    ``rejected``: a Parquet folder for rejected spans and whole requests of each batch, written before the batch is committed.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
         if store.state["streams"].get(name, -1) >= number:
             return
-        good, _ = split(otlp.spans_of(batch.select("body")))
-        store._append(good.withColumns({"_deleted": F.lit(False), "_index": F.monotonically_increasing_id()}), (name, number))
+        if rejected:
+            otlp.rejections_of(batch).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch={number}")
+        store.ingest_otlp_frame(batch, stream=(name, number))
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"availableNow": True})).start()

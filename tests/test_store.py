@@ -47,37 +47,37 @@ def test_batch_rejects_single_rows_and_round_trip(store):
 
 @pytest.fixture
 def seeded(store):
-    rows = [("t1", "a", "gpt-4", "platform", "bot", "ok", 0.01), ("t1", "b", "gpt-4", "platform", "bot", "error", 0.01), ("t2", "a", "claude", "ml", "researcher", "unset", 0.05), ("t3", "a", "gpt-4", "platform", "bot", "ok", 0.01)]
+    rows = [("q7", "root", "mini", "search", "crawler", "Success", 0.125), ("q7", "leaf", "mini", "search", "crawler", "TIMEOUT", 0.125), ("q9", "root", "large", "billing", "planner", "", 2.5), ("r1", "root", "mini", "", "", "unset", 0.25), ("r2", "root", "", "search", "crawler", "failed", 0.5)]
     store.ingest_batch([good(t, s, model=m, team=g, agent=a, status=st, cost_usd=c, start_ns=NOW + i) for i, (t, s, m, g, a, st, c) in enumerate(rows)])
     return store
 
 
 def test_query_surface(seeded):
     s = seeded
-    assert s.error_rate() == 0.25 and s.error_rate("claude") == 0 and s.error_rate("none") == 0
-    assert [r["span_id"] for r in s.failed_spans()] == ["b"]
-    assert s.traces(SpanFilter(model="gpt-4")) == ["t1", "t3"]
-    assert [r["team"] for r in s.top_teams_by_cost(1)] == ["ml"]
-    assert [(r["model"], r["spans"]) for r in s.top_models_by_spans()] == [("gpt-4", 3), ("claude", 1)]
-    assert s.distinct("model") == ["claude", "gpt-4"] and s.distinct("team") == ["ml", "platform"] and s.distinct("agent", limit=1) == ["bot"]
-    assert {r["model"]: round(r["cost_usd"], 9) for r in s.costs("model").collect()} == {"gpt-4": 0.03, "claude": 0.05}
-    assert {r["model"]: r["tokens_total"] for r in s.tokens_by_model().collect()} == {"gpt-4": 450, "claude": 150}
-    assert s.sql("select count(*) n from spans").first()["n"] == 4
+    assert s.error_rate() == 0.4 and s.error_rate("large") == 0 and s.error_rate("none") == 0
+    assert [r["trace_id"] + r["span_id"] for r in s.failed_spans()] == ["r2root", "q7leaf"]
+    assert s.traces(SpanFilter(model="mini")) == ["q7", "r1"]
+    assert [r["team"] for r in s.top_teams_by_cost(1)] == ["billing"]
+    assert [(r["model"], r["spans"]) for r in s.top_models_by_spans()] == [("mini", 3), ("large", 1)]
+    assert s.distinct("model") == ["large", "mini"] and s.distinct("team") == ["billing", "search"] and s.distinct("agent", limit=1) == ["crawler"]
+    assert {r["model"]: r["cost_usd"] for r in s.costs("model").collect()} == {"mini": 0.5, "large": 2.5}
+    assert {r["model"]: r["tokens_total"] for r in s.tokens_by_model().collect()} == {"mini": 450, "large": 150}
+    assert s.sql("select count(*) n from spans").first()["n"] == 5
     for call in (lambda: s.costs("tool"), lambda: s.distinct("tool")):
         with pytest.raises(UnsupportedGroup):
             call()
 
 
 def test_paging(store):
-    store.ingest_batch([good(f"t{i}", "s", start_ns=NOW - (5 - i) * 10 * MINUTE) for i in range(5)])
+    store.ingest_batch([good(x, "only", start_ns=NOW - 7 * MINUTE + i * MINUTE // 3) for i, x in enumerate(("maple", "ash", "oak", "fir", "elm", "yew", "box"))])
     pages, cursor = [], ""
     while True:
-        rows, cursor = store.query(limit=2, cursor=cursor)
+        rows, cursor = store.query(limit=3, cursor=cursor)
         pages.append([r["trace_id"] for r in rows])
         if not cursor:
             break
-    assert pages == [["t0", "t1"], ["t2", "t3"], ["t4"]]
-    assert [r["trace_id"] for r in store.query(limit=2, newest_first=True)[0]] == ["t4", "t3"]
+    assert pages == [["maple", "ash", "oak"], ["fir", "elm", "yew"], ["box"]]
+    assert [r["trace_id"] for r in store.query(limit=2, newest_first=True)[0]] == ["box", "yew"]
     assert store.query(cursor="50") == ([], "")
     for bad in ("garbage", "-1", "1.5", "²"):
         with pytest.raises(InvalidCursor):
@@ -122,12 +122,12 @@ def test_deletes_and_reinsert(store):
 
 
 def test_rollups(store):
-    rows = [(10, "gpt-4", 0.010, 100, 10, 5), (20, "gpt-4", 0.020, 300, 20, 15), (70, "claude", 0.050, 50, 7, 3), (75, "", 0.001, 10, 0, 0)]
+    rows = [(3, "mini", 0.5, 41, 6, 1), (58, "mini", 0.125, 80, 9, 8), (61, "large", 1.0, 7, 2, 2), (118, "", 0.0, 0, 1, 0)]
     base = NOW - 4 * HOUR
     store.ingest_batch([good("t", str(i), start_ns=base + m * MINUTE, model=model, cost_usd=c, latency_ms=ms, tokens_in=a, tokens_out=b) for i, (m, model, c, ms, a, b) in enumerate(rows)])
     got = store.rollup("1h", TimeRange(base, base + 2 * HOUR)).collect()
-    assert [(r["window_start_ns"] - base, r["model"], r["spans"]) for r in got] == [(0, "gpt-4", 2), (HOUR, "", 1), (HOUR, "claude", 1)]
-    assert tuple(got[0])[3:] == (0.03, 30, 20, 200, 100, 300)
+    assert [(r["window_start_ns"] - base, r["model"], r["spans"]) for r in got] == [(0, "mini", 2), (HOUR, "", 1), (HOUR, "large", 1)]
+    assert tuple(got[0])[3:] == (0.625, 15, 9, 60, 41, 80)
     assert len(store.rollup("1h", TimeRange(base + 30 * MINUTE, base + 2 * HOUR)).collect()) == 2
     assert len(store.rollup("1h", TimeRange(base, base + HOUR)).collect()) == 1
     assert sum(r["spans"] for r in store.rollup("1d").collect()) == 4
@@ -153,7 +153,8 @@ def test_compaction_runs_by_itself(spark, tmp_path):
     store = SpanStore(spark, str(tmp_path / "s"), compact_batches=2, clock=lambda: NOW)
     for i in range(3):
         store.ingest(good("t", str(i)))
-    assert store.state["log"] == [] and store.state["base"]["rows"] == 3 and len(store.trace("t")) == 3
+    # the oldest half of the log is merged, the rest stays
+    assert len(store.state["log"]) == 2 and [d["rows"] for d in store.state["base"].values()] == [1] and len(store.trace("t")) == 3
 
 
 def test_reopen_conflict_and_interrupted_write(spark, store):
@@ -210,8 +211,69 @@ def test_otlp(store):
     assert n == 1 and [(i, e.field) for i, e in bad] == [(1, "TraceID"), (2, "startTimeUnixNano")]
     assert store.span("ok", "1")["status"] == "unset" and store.span("ok", "1")["payload"] is None
     assert store.ingest_otlp("{}") == (0, [])
-    for body, error in (("{nope", InvalidOtlp), ("[]", InvalidOtlp), (b" " * (otlp.MAX_BYTES + 1), TooLarge)):
+    misplaced = ['{"resourceSpans":5}', '{"resourceSpans":[5]}', '{"resourceSpans":[{"scopeSpans":[{"spans":"x"}]}]}', '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":5}]}]}]}', '{"resourceSpans":[{"resource":[]}]}', wrap({"traceId": "t", "attributes": [{"key": "k", "value": {"doubleValue": "1"}}]}), "null"]
+    for body, error in (("{nope", InvalidOtlp), ("[]", InvalidOtlp), *((x, InvalidOtlp) for x in misplaced), (b" " * (otlp.MAX_BYTES + 1), TooLarge)):
         with pytest.raises(error):
             store.ingest_otlp(body)
     n, bad = store.ingest_otlp(wrap({"traceId": "neg", "spanId": "1", "startTimeUnixNano": NOW, "attributes": [{"key": "gen_ai.usage.input_tokens", "value": {"intValue": -5}}]}, {"traceId": "big", "spanId": "1", "startTimeUnixNano": NOW, "attributes": [{"key": "gen_ai.usage.prompt_tokens", "value": {"intValue": "99999999999"}}]}))
     assert n == 1 and bad[0][1].field == "Tokens" and store.span("big", "1")["tokens_in"] == 2147483647
+
+
+def test_buffered_ingest(spark, tmp_path):
+    store = SpanStore(spark, str(tmp_path / "s"), buffer_rows=3, buffer_seconds=1000, clock=lambda: NOW)
+    for i in range(4):
+        store.ingest(good("t", str(i), payload={"i": i}))
+    assert store.state["batch"] == 1 and len(store._buffer) == 1  # three written together, one waits
+    assert [r["span_id"] for r in store.trace("t")] == ["0", "1", "2", "3"] and store.state["batch"] == 2  # reads see it
+    store.ingest(good("t", "4"))
+    store.close()
+    assert len(SpanStore(spark, store.path).trace("t")) == 5
+
+
+def test_one_span_is_checked_like_a_frame(spark, tmp_path):
+    from lumispan.functions.validation import first_broken
+
+    fine = [{}, {"model": "é" * 128}, {"payload": ""}, {"payload": None}, {"duration_ns": 0}]
+    assert [first_broken(good("t", "s", **c)) for c in fine] == [None] * len(fine)
+    for name, changes in BAD.items():
+        assert {first_broken(good("t", "s", **c))[0] for c in changes} == {name}
+
+
+def test_ranges_open_their_days_alone(store):
+    day = 24 * HOUR
+    store.ingest_batch([good("t", str(i), start_ns=NOW - i * day) for i in range(4)])
+    maintenance.compact(store)
+    assert len(store.state["base"]) == 4
+    span = TimeRange(NOW - 2 * day, NOW - 2 * day + 5)
+    files = store.spans(span).inputFiles()
+    assert len(files) == 1 and "day=2024-12-30" in files[0]
+    assert [r["span_id"] for r in store.query(SpanFilter(span))[0]] == ["2"]
+    # an overwrite that leaves a day takes the old row with it, and other days stay as they are
+    before = {d: x["path"] for d, x in store.state["base"].items()}
+    store.ingest(good("t", "2", start_ns=NOW))
+    assert store.query(SpanFilter(span))[0] == []
+    maintenance.compact(store)
+    after = {d: x["path"] for d, x in store.state["base"].items()}
+    assert set(after) == set(before) - {"2024-12-30"} and [d for d in after if after[d] != before[d]] == ["2025-01-01"]
+    assert len(store.trace("t")) == 4 and maintenance.check(store).ok
+
+
+def test_vacuum_waits_for_readers(spark, tmp_path):
+    now = [NOW]
+    store = SpanStore(spark, str(tmp_path / "s"), clock=lambda: now[0], grace_seconds=60)
+    store.ingest_batch([good("t", "1")])
+    lazy = store.spans()
+    maintenance.compact(store)
+    assert lazy.count() == 1 and maintenance.vacuum(store) == 0 and not maintenance.check(store).warnings
+    now[0] += 61_000_000_000
+    assert maintenance.vacuum(store) == 1 and store.folder.names("log") == [] and len(store.trace("t")) == 1 and maintenance.check(store).ok
+
+
+def test_retention_runs_by_itself(spark, tmp_path):
+    now = [NOW]
+    store = SpanStore(spark, str(tmp_path / "s"), retention_days=1, clock=lambda: now[0])
+    store.ingest(good("a", "1"))
+    maintenance.compact(store)
+    now[0] += 48 * HOUR
+    store.ingest(good("b", "1", start_ns=now[0]))
+    assert store.traces() == ["b"] and store.state["base"] == {}

@@ -57,9 +57,11 @@ def test_stream_into_store_once(spark, store, tmp_path):
 
 def test_stream_of_requests(spark, store, tmp_path):
     (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.json").write_text('{"resourceSpans":[7]}')
     (tmp_path / "in" / "a.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "startTimeUnixNano": NOW}, {"traceId": "", "spanId": "s"}]}]}]}))
-    ingest.start_otlp_ingest(ingest.read_requests(spark, str(tmp_path / "in")), store, str(tmp_path / "cp")).awaitTermination()
+    ingest.start_otlp_ingest(ingest.read_requests(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), rejected=str(tmp_path / "bad")).awaitTermination()
     assert [r["span_id"] for r in store.trace("t")] == ["s"]
+    assert sorted((r["field"], r["index"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [("TraceID", 1, "is empty"), ("request", None, "invalid")]
 
 
 def test_streaming_rollup(spark, store, tmp_path):
