@@ -1,10 +1,16 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 In the model's vocabulary the whitespace marker stands only at the front of a piece, so no merge
-crosses from a word into the marker that follows. A text is cut before each run of markers; each
-distinct chunk is segmented once in a worker, by the library itself, and ids and decoded text are
-joined back by position. The table is emptied when it holds CHUNK_BYTES; chunks met later are
-segmented again, so memory is bounded whatever the corpus holds.
+crosses from a word into the marker that follows; a text is cut before each run of markers. Blocks
+of consecutive rows of a partition ask for their distinct chunks, dealt into buckets by a hash. A
+bucket's task holds that part of the table: it segments each distinct chunk once, by the library
+itself, and answers every block in the order asked. A block takes its ids back by position: the
+answers go to the partition that asked, beside the rows, which are never shuffled. A block asks for
+a chunk once, so a frequent chunk costs a bucket one entry a block; buckets grow with the input.
+
+Rows are read twice and must come alike: a plan with an exchange is stored first, and a block whose
+chunks differ from those it asked for raises RuntimeError. A bucket over CHUNK_BYTES forgets its
+chunks and segments them again, so that memory is bounded; results don't change.
 
 Defined results: a null text counts as empty and gives just the end id; ids are those of the library
 with the end id added and no sampling. Rows are independent, so repeated rows give equal results.
@@ -15,20 +21,29 @@ column is replaced.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import release, small_batches
+from .common import every, quoted, release, releasing, small_batches, stored
 
 MARK = "▁"
 CHUNK_BYTES = 64 << 20
-#: Characters of texts that are cut at once.
-CALL_CHARS = 1 << 20
+#: A block is full at so many characters, each row counting as ROW_CHARS more.
+BLOCK_CHARS, ROW_CHARS = 16 << 20, 64
+#: Buckets of the table for each partition of the input, and bounds on their number.
+SPREAD, LEAST_BUCKETS, MOST_BUCKETS = 2, 16, 1 << 16
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _codecs: dict[str, "ChunkCodec"] = {}
 
@@ -84,28 +99,30 @@ class ChunkCodec:
             return _CHUNK.findall(MARK + text.replace(" ", MARK))
         return (MARK + text.replace(" ", "\0" + MARK)).split("\0") if text else []
 
-    def digest(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(decimal ids joined by spaces, end id included; decoded text) of each whole text."""
-        out: list[tuple[str, str]] = []
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CALL_CHARS):
-                size += len(texts[upto])
-                upto += 1
-            out += self._digest(texts[at:upto])
-            at = upto
-        return out
-
-    def _digest(self, texts: list[str]) -> list[tuple[str, str]]:
+    def segment(self, chunks: list[str]) -> tuple[list[str], dict[int, str]]:
+        """Ids of each chunk, and the decoded texts, by position, of those that don't decode to themselves."""
         if self.held > self.limit:
             self._forget()
-        cut = [self._chunks(t) for t in texts]
-        ids, decoded = self.ids, self.texts
-        if new := {c for chunks in cut for c in chunks if c not in ids}:
-            self._learn(list(new))
-        end = self.end
-        return [(f"{' '.join([ids[c] for c in chunks])} {end}", "".join([decoded[c] for c in chunks])[1:]) if chunks else (end, "") for chunks in cut]
+        if new := [c for c in chunks if c not in self.ids]:
+            self._learn(new)
+        return [self.ids[c] for c in chunks], {k: self.texts[c] for k, c in enumerate(chunks) if self.texts[c] != c.replace(MARK, " ")}
+
+    def wanted(self, texts: Iterable[str], buckets: int) -> dict[int, list[str]]:
+        """The distinct chunks of some texts by bucket, each bucket in order of first occurrence; at least one bucket."""
+        seen: dict[str, None] = {}
+        for text in texts:
+            seen.update(dict.fromkeys(self._chunks(text)))
+        out: dict[int, list[str]] = {}
+        for chunk in seen:
+            out.setdefault(zlib.crc32(chunk.encode()) % buckets, []).append(chunk)
+        return out or {0: []}
+
+    def digest(self, text: str, ids: dict[str, str], odd: dict[str, str]) -> tuple[str, str]:
+        """(decimal ids joined by spaces, end id included; decoded text) of a whole text whose chunks are in ``ids``."""
+        chunks = self._chunks(text)
+        plain = not odd or odd.keys().isdisjoint(chunks)
+        decoded = text.replace(MARK, " ") if plain else "".join([odd.get(c) or c.replace(MARK, " ") for c in chunks])[1:]
+        return " ".join([ids[c] for c in chunks] + [self.end]), decoded
 
 
 def codec(model_path: str) -> ChunkCodec:
@@ -121,19 +138,112 @@ def _forget(model_path: str) -> None:
     release()
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with an array of ids for each whole text, end id included."""
-    small_batches(docs.sparkSession)
+def _packed(value: object) -> bytes:
+    return zlib.compress(json.dumps(value, ensure_ascii=False).encode(), 1)
+
+
+def _unpacked(blob: bytes) -> object:
+    return json.loads(zlib.decompress(blob))
+
+
+def _mark(chunks: list[str]) -> int:
+    """A checksum that tells whether a block asks for the same chunks again."""
+    return zlib.crc32("".join(chunks).encode())
+
+
+def _blocks(rows: Iterable[tuple], limit: int) -> Iterator[list[tuple]]:
+    """Consecutive rows, whose last field is a text, in blocks of some ``limit`` characters."""
+    held: list[tuple] = []
+    chars = 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[-1] or "") + ROW_CHARS
+        if chars >= limit:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
+_PARTS = "at int, block int, bucket int, mark long, chunks binary"
+_ARROW = pa.schema([("at", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("mark", pa.int64()), ("chunks", pa.binary())])
+
+
+def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], made: list[T.StructField], finish: Callable[[str, str], tuple]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and what ``finish`` makes of each text's ids and decoded text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(*(quoted(c).alias(f"c{k}") for k, c in enumerate(keep)), quoted(text_col).cast("string").alias("text"))
+    schema = T.StructType([*docs.select(*map(quoted, keep)).schema.fields, *made])
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = stored(rows)
+    parts = rows.rdd.getNumPartitions()
+    if parts == 0:
+        return spark.createDataFrame([], schema)
+    buckets, limit = min(MOST_BUCKETS, max(LEAST_BUCKETS, SPREAD * parts)), BLOCK_CHARS
+
+    @releasing
+    def ask(batches):
+        table, at = codec(model_path), TaskContext.get().partitionId()
+        texts = ((text,) for batch in batches for text in batch.column(batch.num_columns - 1).to_pylist())
+        for k, block in enumerate(_blocks(texts, limit)):
+            asked = table.wanted((text or "" for (text,) in block), buckets)
+            yield pa.RecordBatch.from_pylist([{"at": at, "block": k, "bucket": b, "mark": _mark(chunks), "chunks": _packed(chunks)} for b, chunks in asked.items()], _ARROW)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def segment(batches):
+        table, last = codec(model_path), None
         try:
-            for texts in batches:
-                yield pd.Series([np.array(ids.split(), np.int32) for ids, _ in codec(model_path).digest([t or "" for t in texts])])
+            for batch in batches:
+                for part in range(batch.num_rows):
+                    row = batch.slice(part, 1).to_pylist()[0]
+                    if row["bucket"] != last:
+                        table._forget()
+                        last = row["bucket"]
+                    yield pa.RecordBatch.from_pylist([row | {"chunks": _packed(table.segment(_unpacked(row["chunks"])))}], _ARROW)
         finally:
             _forget(model_path)
 
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != ids_col), ids(F.col(text_col).cast("string")).alias(ids_col))
+    def gather(answers):
+        for _, found in groupby(answers, key=lambda r: r["block"]):
+            yield {r["bucket"]: (r["mark"], bytes(r["chunks"])) for r in found}
+
+    def join(pairs):
+        table = codec(model_path)
+        try:
+            for block, answers in pairs:
+                asked = table.wanted((row[-1] or "" for row in block), buckets)
+                ids: dict[str, str] = {}
+                odd: dict[str, str] = {}
+                for bucket, chunks in asked.items():
+                    mark, blob = answers.pop(bucket, (None, None))
+                    if mark != _mark(chunks):
+                        raise RuntimeError("rows differ between two readings of the table")
+                    found, others = _unpacked(blob)
+                    ids.update(zip(chunks, found))
+                    odd.update((chunks[int(k)], text) for k, text in others.items())
+                for row in block:
+                    yield (*row[:-1], *finish(*table.digest(row[-1] or "", ids, odd)))
+        finally:
+            release()
+
+    # one block is one element on both sides, so that partitions are zipped block by block
+    single = BatchedSerializer(CPickleSerializer(), 1)
+    tasks = min(buckets, 8192)
+    asked = rows.mapInArrow(ask, _PARTS).repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(segment, _PARTS).repartitionById(parts, F.col("at")).sortWithinPartitions("block", "bucket")
+    left = rows.rdd.mapPartitions(lambda part: _blocks(map(tuple, part), limit), True)._reserialize(single)
+    right = answers.rdd.mapPartitions(gather, True)._reserialize(single)
+    return spark.createDataFrame(left.zip(right).mapPartitions(join), schema, verifySchema=False)
+
+
+def _kept(docs: DataFrame, keep: list[str] | None, made: tuple[str, ...]) -> list[str]:
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with an array of ids for each whole text, end id included."""
+    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    return _joined(docs, model_path, text_col, _kept(docs, keep, (ids_col.lower(),)), made, lambda ids, _: ([int(i) for i in ids.split()],))
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -145,22 +255,14 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "token_ids", text_co
         library = codec(model_path).library
         return pd.Series([library.decode([] if x is None else [int(i) for i in x]) for x in ids])
 
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col), text(ids_col).alias(text_col))
+    return docs.select(*every(docs, (text_col,)), text(quoted(ids_col)).alias(text_col))
 
 
-def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass, without storing the ids."""
-    small_batches(docs.sparkSession)
+def _digests(ids: str, text: str) -> tuple[int, str, str]:
+    return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        try:
-            for texts in batches:
-                rows = [(ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in codec(model_path).digest([t or "" for t in texts])]
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            _forget(model_path)
 
-    made = ("n_tokens", "ids_sha256", "decoded_sha256")
-    out = docs.withColumn("_digests", digests(F.col(text_col).cast("string")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made), "_digests.*")
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with n_tokens, ids_sha256 and decoded_sha256, without storing the ids."""
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _joined(docs, model_path, text_col, _kept(docs, keep, tuple(f.name for f in made)), made, _digests)

@@ -61,8 +61,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.round_trip(docs, model_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.round_trip(table(spark, sf_dir, "documents"), model_path(), keep=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -648,7 +648,10 @@ def test_pieces_equal_the_library(spark):
     texts += ["".join(rng.choice("ab ▁\n\0é😀.") for _ in range(rng.randrange(40))) for _ in range(400)]
     for limit in (64 << 20, 1000):
         table = pieces.ChunkCodec(queries.model_path(), limit)
-        for t, (ids, text) in zip(texts, table.digest([t or "" for t in texts])):
+        for t in texts:
+            (chunks,) = table.wanted([t or ""], 1).values()
+            found, odd = table.segment(chunks)
+            ids, text = table.digest(t or "", dict(zip(chunks, found)), {chunks[k]: x for k, x in odd.items()})
             want = lib.encode(t or "", add_eos=True)
             assert ids == " ".join(map(str, want)) and text == lib.decode(want)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("n_tokens", F.lit("old"))
@@ -661,6 +664,36 @@ def test_pieces_equal_the_library(spark):
         ids = lib.encode(t or "", add_eos=True)
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
     assert pieces.round_trip(docs.limit(0), queries.model_path()).count() == 0
+    shuffled = pieces.round_trip(docs.repartition(3, "doc_id"), queries.model_path(), keep=["doc_id"])
+    assert shuffled.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r["doc_id"]: r["ids_sha256"] for r in shuffled.collect()} == {i: r["ids_sha256"] for i, r in got.items()}
+
+
+def test_pieces_segment_each_distinct_chunk_once(spark, monkeypatch):
+    """Small blocks, many of a partition, empty ones too; a whole table; chunks are learned once each."""
+    lib = library()
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 2000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    empty = spark.range(0, 90, 1, 3).select((F.col("id") + 10**9).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    docs = docs.unionByName(empty)
+    learn = pieces.ChunkCodec._learn
+
+    got = {r["doc_id"]: r for r in pieces.round_trip(docs, queries.model_path()).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = lib.encode(r["text"] or "", add_eos=True)
+        assert got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+    table, asked = pieces.ChunkCodec(queries.model_path()), []
+    monkeypatch.setattr(pieces.ChunkCodec, "_learn", lambda self, new: (asked.extend(new), learn(self, new))[1])
+    blocks = [table.wanted([r["text"] or ""], 7) for r in rows]
+    for bucket in range(7):
+        table._forget()
+        for block in blocks:
+            table.segment(block.get(bucket, []))
+    assert len(asked) == len(set(asked)) == len({c for r in rows for c in table._chunks(r["text"] or "")})
 
 
 # -- 10 near-dedup
