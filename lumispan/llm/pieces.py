@@ -8,8 +8,8 @@ itself, and answers every block in the order asked. A block takes its ids back b
 answers go to the partition that asked, beside the rows, which are never shuffled. A block asks for
 a chunk once, so a frequent chunk costs a bucket one entry a block; buckets grow with the input.
 
-Rows are read twice and must come alike: a plan with an exchange is stored first, and a block whose
-chunks differ from those it asked for raises RuntimeError. A bucket over CHUNK_BYTES forgets its
+Answers are written to the shared folder. Rows are read twice and must come alike: a plan with an
+exchange is stored first, and a block whose chunks differ from those it asked for raises RuntimeError. A bucket over CHUNK_BYTES forgets its
 chunks and segments them again, so that memory is bounded; results don't change.
 
 Defined results: a null text counts as empty and gives just the end id; ids are those of the library
@@ -230,7 +230,8 @@ def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], ma
     single = BatchedSerializer(CPickleSerializer(), 1)
     tasks = min(buckets, 8192)
     asked = rows.mapInArrow(ask, _PARTS).repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(segment, _PARTS).repartitionById(parts, F.col("at")).sortWithinPartitions("block", "bucket")
+    # written, so that a lost executor costs no chunk a second segmentation
+    answers = stored(asked.mapInArrow(segment, _PARTS)).repartitionById(parts, F.col("at")).sortWithinPartitions("block", "bucket")
     left = rows.rdd.mapPartitions(lambda part: _blocks(map(tuple, part), limit), True)._reserialize(single)
     right = answers.rdd.mapPartitions(gather, True)._reserialize(single)
     return spark.createDataFrame(left.zip(right).mapPartitions(join), schema, verifySchema=False)
