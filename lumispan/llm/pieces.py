@@ -169,7 +169,7 @@ _PARTS = "at int, block int, bucket int, mark long, chunks binary"
 _ARROW = pa.schema([("at", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("mark", pa.int64()), ("chunks", pa.binary())])
 
 
-def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], made: list[T.StructField], finish: Callable[[str, str], tuple]) -> DataFrame:
+def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], made: list[T.StructField], finish: Callable[[str, str], tuple], block_chars: int | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and what ``finish`` makes of each text's ids and decoded text."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -180,7 +180,7 @@ def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], ma
     parts = rows.rdd.getNumPartitions()
     if parts == 0:
         return spark.createDataFrame([], schema)
-    buckets, limit = min(MOST_BUCKETS, max(LEAST_BUCKETS, SPREAD * parts)), BLOCK_CHARS
+    buckets, limit = min(MOST_BUCKETS, max(LEAST_BUCKETS, SPREAD * parts)), block_chars or BLOCK_CHARS
 
     @releasing
     def ask(batches):
@@ -263,7 +263,10 @@ def _digests(ids: str, text: str) -> tuple[int, str, str]:
     return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) with n_tokens, ids_sha256 and decoded_sha256, without storing the ids."""
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, block_chars: int | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with n_tokens, ids_sha256 and decoded_sha256, without storing the ids.
+
+    Smaller blocks take less memory and ask for more chunks.
+    """
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _joined(docs, model_path, text_col, _kept(docs, keep, tuple(f.name for f in made)), made, _digests)
+    return _joined(docs, model_path, text_col, _kept(docs, keep, tuple(f.name for f in made)), made, _digests, block_chars)
