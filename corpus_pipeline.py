@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its token ids' and decoded text's digests; a null text counts as empty."""
-    return pieces.round_trip(docs, model_path()).select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.round_trip(docs, model_path(), keep=["doc_id", "source", "lang"], block_chars=4 << 20).select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
