@@ -5,12 +5,14 @@ crosses from a word into the marker that follows; a text is cut before each run
 of consecutive rows of a partition ask for their distinct chunks, dealt into buckets by a hash. A
 bucket's task holds that part of the table: it segments each distinct chunk once, by the library
 itself, and answers every block in the order asked. A block takes its ids back by position: the
-answers go to the partition that asked, beside the rows, which are never shuffled. A block asks for
-a chunk once, so a frequent chunk costs a bucket one entry a block; buckets grow with the input.
+answers go to the partition that asked and are zipped there with the rows, which are never shuffled.
+A block asks for a chunk once, so a frequent chunk costs a bucket one entry a block; buckets grow with
+the input.
 
 Answers are written to the shared folder. Rows are read twice and must come alike: a plan with an
-exchange is stored first, and a block whose chunks differ from those it asked for raises RuntimeError. A bucket over CHUNK_BYTES forgets its
-chunks and segments them again, so that memory is bounded; results don't change.
+exchange is stored first, and a block whose chunks differ from those it asked for, or a partition with
+other numbers of rows, fails the job. A bucket over CHUNK_BYTES forgets its chunks and segments them
+again, so that memory is bounded; results don't change.
 
 Defined results: a null text counts as empty and gives just the end id; ids are those of the library
 with the end id added and no sampling. Rows are independent, so repeated rows give equal results.
@@ -25,16 +27,15 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import every, quoted, release, releasing, small_batches, stored
 
@@ -151,22 +152,37 @@ def _mark(chunks: list[str]) -> int:
     return zlib.crc32("".join(chunks).encode())
 
 
-def _blocks(rows: Iterable[tuple], limit: int) -> Iterator[list[tuple]]:
-    """Consecutive rows, whose last field is a text, in blocks of some ``limit`` characters."""
-    held: list[tuple] = []
+_PARTS = "at int, block int, rows int, bucket int, mark long, chunks binary"
+_ARROW = pa.schema([("at", pa.int32()), ("block", pa.int32()), ("rows", pa.int32()), ("bucket", pa.int32()), ("mark", pa.int64()), ("chunks", pa.binary())])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[tuple[pa.RecordBatch, list[str]]]]:
+    """Consecutive rows in blocks of some ``limit`` characters: slices of batches with their texts, column "text", null as empty."""
+    held: list[tuple[pa.RecordBatch, list[str]]] = []
     chars = 0
-    for row in rows:
-        held.append(row)
-        chars += len(row[-1] or "") + ROW_CHARS
-        if chars >= limit:
-            yield held
-            held, chars = [], 0
+    for batch in batches:
+        texts, start = [text or "" for text in batch.column("text").to_pylist()], 0
+        for k, text in enumerate(texts):
+            chars += len(text) + ROW_CHARS
+            if chars >= limit:
+                yield [*held, (batch.slice(start, k + 1 - start), texts[start : k + 1])]
+                held, chars, start = [], 0, k + 1
+        if start < len(texts):
+            held.append((batch.slice(start), texts[start:]))
     if held:
         yield held
 
 
-_PARTS = "at int, block int, bucket int, mark long, chunks binary"
-_ARROW = pa.schema([("at", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("mark", pa.int64()), ("chunks", pa.binary())])
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of two frames side by side, by position; both have the same partitions with the same numbers of rows.
+
+    Rows are zipped in the JVM and stay there: no Python worker holds them.
+    """
+    spark = left.sparkSession
+    rows = spark.sparkContext._jvm.org.apache.spark.sql.Encoders
+    pairs = left._jdf.toJavaRDD().zip(right._jdf.toJavaRDD()).rdd()
+    zipped = spark._jsparkSession.createDataset(pairs, rows.tuple(rows.row(left._jdf.schema()), rows.row(right._jdf.schema())))
+    return DataFrame(zipped.toDF(), spark).select("_1.*", "_2.*")
 
 
 def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], made: list[T.StructField], finish: Callable[[str, str], tuple], block_chars: int | None = None) -> DataFrame:
@@ -174,21 +190,23 @@ def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], ma
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(*(quoted(c).alias(f"c{k}") for k, c in enumerate(keep)), quoted(text_col).cast("string").alias("text"))
-    schema = T.StructType([*docs.select(*map(quoted, keep)).schema.fields, *made])
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"m{k}", f.dataType) for k, f in enumerate(made))])
+    names = [*keep, *(f.name for f in made)]
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = stored(rows)
     parts = rows.rdd.getNumPartitions()
     if parts == 0:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).toDF(*names)
     buckets, limit = min(MOST_BUCKETS, max(LEAST_BUCKETS, SPREAD * parts)), block_chars or BLOCK_CHARS
+    types = [to_arrow_type(f.dataType) for f in made]
 
     @releasing
     def ask(batches):
         table, at = codec(model_path), TaskContext.get().partitionId()
-        texts = ((text,) for batch in batches for text in batch.column(batch.num_columns - 1).to_pylist())
-        for k, block in enumerate(_blocks(texts, limit)):
-            asked = table.wanted((text or "" for (text,) in block), buckets)
-            yield pa.RecordBatch.from_pylist([{"at": at, "block": k, "bucket": b, "mark": _mark(chunks), "chunks": _packed(chunks)} for b, chunks in asked.items()], _ARROW)
+        for k, block in enumerate(_blocks(batches, limit)):
+            n = sum(len(texts) for _, texts in block)
+            asked = table.wanted((text for _, texts in block for text in texts), buckets)
+            yield pa.RecordBatch.from_pylist([{"at": at, "block": k, "rows": n, "bucket": b, "mark": _mark(chunks), "chunks": _packed(chunks)} for b, chunks in asked.items()], _ARROW)
 
     def segment(batches):
         table, last = codec(model_path), None
@@ -203,38 +221,32 @@ def _joined(docs: DataFrame, model_path: str, text_col: str, keep: list[str], ma
         finally:
             _forget(model_path)
 
-    def gather(answers):
-        for _, found in groupby(answers, key=lambda r: r["block"]):
-            yield {r["bucket"]: (r["mark"], bytes(r["chunks"])) for r in found}
-
-    def join(pairs):
+    @releasing
+    def join(batches):
         table = codec(model_path)
-        try:
-            for block, answers in pairs:
-                asked = table.wanted((row[-1] or "" for row in block), buckets)
-                ids: dict[str, str] = {}
-                odd: dict[str, str] = {}
-                for bucket, chunks in asked.items():
-                    mark, blob = answers.pop(bucket, (None, None))
-                    if mark != _mark(chunks):
-                        raise RuntimeError("rows differ between two readings of the table")
-                    found, others = _unpacked(blob)
-                    ids.update(zip(chunks, found))
-                    odd.update((chunks[int(k)], text) for k, text in others.items())
-                for row in block:
-                    yield (*row[:-1], *finish(*table.digest(row[-1] or "", ids, odd)))
-        finally:
-            release()
+        for block in _blocks(batches, limit):
+            answers = {x["bucket"]: x for x in block[0][0].column("found")[0].as_py() or []}
+            ids: dict[str, str] = {}
+            odd: dict[str, str] = {}
+            for bucket, chunks in table.wanted((text for _, texts in block for text in texts), buckets).items():
+                answer = answers.pop(bucket, None)
+                if answer is None or answer["mark"] != _mark(chunks):
+                    raise RuntimeError("rows differ between two readings of the table")
+                found, others = _unpacked(answer["chunks"])
+                ids.update(zip(chunks, found))
+                odd.update((chunks[int(k)], text) for k, text in others.items())
+            for batch, texts in block:
+                values = list(zip(*(finish(*table.digest(text, ids, odd)) for text in texts)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, values, types)], schema.names)
 
-    # one block is one element on both sides, so that partitions are zipped block by block
-    single = BatchedSerializer(CPickleSerializer(), 1)
     tasks = min(buckets, 8192)
     asked = rows.mapInArrow(ask, _PARTS).repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket")
     # written, so that a lost executor costs no chunk a second segmentation
-    answers = stored(asked.mapInArrow(segment, _PARTS)).repartitionById(parts, F.col("at")).sortWithinPartitions("block", "bucket")
-    left = rows.rdd.mapPartitions(lambda part: _blocks(map(tuple, part), limit), True)._reserialize(single)
-    right = answers.rdd.mapPartitions(gather, True)._reserialize(single)
-    return spark.createDataFrame(left.zip(right).mapPartitions(join), schema, verifySchema=False)
+    answers = stored(asked.mapInArrow(segment, _PARTS)).repartitionById(parts, F.col("at"))
+    # a block's answers stand in its first row, nulls in its other ones
+    blocks = answers.groupBy("at", "block").agg(F.collect_list(F.struct("bucket", "mark", "chunks")).alias("found"), F.first("rows").alias("rows")).sortWithinPartitions("block")
+    lines = blocks.select("found", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("line")).select(F.when(F.col("line") == 1, F.col("found")).alias("found"))
+    return _beside(rows, lines).mapInArrow(join, schema).toDF(*names)
 
 
 def _kept(docs: DataFrame, keep: list[str] | None, made: tuple[str, ...]) -> list[str]:
@@ -244,7 +256,7 @@ def _kept(docs: DataFrame, keep: list[str] | None, made: tuple[str, ...]) -> lis
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with an array of ids for each whole text, end id included."""
     made = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
-    return _joined(docs, model_path, text_col, _kept(docs, keep, (ids_col.lower(),)), made, lambda ids, _: ([int(i) for i in ids.split()],))
+    return _joined(docs, model_path, text_col, _kept(docs, keep, (ids_col.lower(),)), made, lambda ids, _: (np.array(ids.split(), np.int32),))
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
