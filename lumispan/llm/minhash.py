@@ -393,6 +393,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, n_pairs: int, set_bytes: int) ->
     return shipped.repartition(tasks, "low_s", "high_s").groupBy("low_s", "high_s").cogroup(placed.repartition(tasks, "low", "high").groupBy("low", "high")).applyInArrow(compare, "a long, b long")
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, count: str) -> DataFrame:
+    """The inner join of ``rows`` with ``table`` (materialised, one row a shingle) on shingle.
+
+    Shingles of more than HOT_ROWS rows by the column ``count`` are at most one in HOT_ROWS of the rows; they are
+    joined where their rows are, so that no task gathers all rows of a frequent shingle.
+    """
+    hot = broadcast_if_small(table.filter(F.col(count) > HOT_ROWS))
+    rest = rows.join(hot.select("shingle"), "shingle", "left_anti").join(table.filter(F.col(count) <= HOT_ROWS), "shingle")
+    return rows.join(hot, "shingle").unionByName(rest)
+
+
 def prefix_pairs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     """(a, b) of sets that may be similar enough and lie in different components of ``grouped`` (node, component); none is left out.
 
@@ -401,9 +412,9 @@ def prefix_pairs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     many left in both. A shingle of one set alone is never common, and comes before all others.
     """
     shingles = sets.select("id", "n", F.explode("shingles").alias("shingle"))
-    times = shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    times = stored(shingles.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1"))
     from_last = W.partitionBy("id").orderBy(F.col("times").desc(), F.col("shingle").desc())
-    first = shingles.join(times, "shingle").withColumn("left", F.row_number().over(from_last)).filter("4 * left >= 3 * n").select("shingle", "id", "n", "left")
+    first = _looked_up(shingles, times, "times").withColumn("left", F.row_number().over(from_last)).filter("4 * left >= 3 * n").select("shingle", "id", "n", "left")
     component = F.coalesce("component", "id")
     known = grouped.select(F.col("node").alias("id"), "component")
     of = sets.select("id").join(known, "id", "left").select("id", component.alias("component"))
@@ -411,8 +422,8 @@ def prefix_pairs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     first = stored(first.join(broadcast_if_small(of), "id"))
     # shingles of several components, with the largest of these
     mixed = first.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("top"))
-    mixed = mixed.filter("low != high").select("shingle", F.col("top.component").alias("top"), F.ceil(F.col("rows") / HOT_ROWS).alias("salts"))
-    met = stored(first.join(mixed, "shingle").select("shingle", "id", "n", "left", "component", "top", "salts"))
+    mixed = stored(mixed.filter("low != high").select("shingle", "rows", F.col("top.component").alias("top"), F.ceil(F.col("rows") / HOT_ROWS).alias("salts")))
+    met = stored(_looked_up(first, mixed, "rows").select("shingle", "id", "n", "left", "component", "top", "salts"))
     # a hot shingle's rows are dealt over several salts on one side, and go to each of them on the other
     x = met.filter("component != top").select("shingle", F.pmod(F.xxhash64(F.lit(37), "id"), F.col("salts")).alias("salt"), "top", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "left", "component")))
     y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "left", "component")))
