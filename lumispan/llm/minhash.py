@@ -63,7 +63,7 @@ CHUNK_ROWS = 1 << 19
 PARTITION_ROWS = 300_000
 #: A cell of pairs to confirm holds about this many bytes of sets and this many pairs.
 CELL_BYTES, CELL_PAIRS = 32 << 20, 1_000_000
-#: Rows of one shingle that meet in one task on one side.
+#: Rows of one shingle that meet in one task, on either side.
 HOT_ROWS = 1024
 
 _U64 = np.uint64
@@ -422,13 +422,17 @@ def prefix_pairs(sets: DataFrame, grouped: DataFrame) -> DataFrame:
     first = stored(first.join(broadcast_if_small(of), "id"))
     # shingles of several components, with the largest of these
     mixed = first.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("top"))
-    mixed = stored(mixed.filter("low != high").select("shingle", "rows", F.col("top.component").alias("top"), F.ceil(F.col("rows") / HOT_ROWS).alias("salts")))
-    met = stored(_looked_up(first, mixed, "rows").select("shingle", "id", "n", "left", "component", "top", "salts"))
-    # a hot shingle's rows are dealt over several salts on one side, and go to each of them on the other
-    x = met.filter("component != top").select("shingle", F.pmod(F.xxhash64(F.lit(37), "id"), F.col("salts")).alias("salt"), "top", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "left", "component")))
-    y = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "left", "component")))
-    tasks = _tasks(sets)
-    pairs = x.repartition(tasks, "shingle", "salt").join(y.repartition(tasks, "shingle", "salt").hint("merge"), ["shingle", "salt"]).filter("component_x != component_y and 7 * least(left_x, left_y) >= 3 * (n_x + n_y) and (component_y = top or id_x < id_y)")
+    mixed = stored(mixed.filter("low != high").select("shingle", "rows", F.col("top.component").alias("top")))
+    met = stored(_looked_up(first, mixed, "rows").select("shingle", "id", "n", "left", "component", "top", "rows"))
+    # the pairs of a frequent shingle are a grid of cells, each with at most some HOT_ROWS rows of either side
+    aside = stored(met.filter((F.col("rows") > HOT_ROWS) & (F.col("component") != F.col("top"))).groupBy("shingle").agg(F.ceil(F.count("*") / HOT_ROWS).alias("across")))
+    met = met.join(broadcast_if_small(aside), "shingle", "left").withColumn("across", F.coalesce("across", F.lit(1).cast("long"))).withColumn("down", F.ceil(F.col("rows") / HOT_ROWS))
+    dealt = lambda c: F.pmod(F.xxhash64(F.lit(37), "id"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    x = met.filter("component != top").select("shingle", dealt("across").alias("i"), each("down").alias("j"), "top", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "left", "component")))
+    y = met.select("shingle", each("across").alias("i"), dealt("down").alias("j"), *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "left", "component")))
+    tasks, cell = _tasks(sets), ["shingle", "i", "j"]
+    pairs = x.repartition(tasks, *cell).join(y.repartition(tasks, *cell).hint("merge"), cell).filter("component_x != component_y and 7 * least(left_x, left_y) >= 3 * (n_x + n_y) and (component_y = top or id_x < id_y)")
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 

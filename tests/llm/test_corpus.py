@@ -812,6 +812,21 @@ def test_near_groups_lose_no_link_in_template_families(spark):
     assert got == want and 900 < sum(c != i for i, c in want.items()) < 1200
 
 
+def test_frequent_shingles_meet_in_cells(spark, monkeypatch):
+    # all sets share six shingles, which their lengths put into the prefixes; one component is much larger than the others
+    rng = np.random.default_rng(9)
+    sets = {i: sorted({*range(6), *rng.choice(np.arange(100, 104), 2, False).tolist()}) for i in range(60)}
+    owner = {i: 0 if i < 35 else i - i % 2 for i in sets}
+    frame = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "id long, n long, shingles array<long>")
+    grouped = spark.createDataFrame(list(owner.items()), "node long, component long")
+    similar = {(i, j) for i in sets for j in sets if i < j and owner[i] != owner[j] and 4 * len({*sets[i]} & {*sets[j]}) >= 3 * len({*sets[i]} | {*sets[j]})}
+    found = []
+    for rows in (4, 1024):
+        monkeypatch.setattr(minhash, "HOT_ROWS", rows)
+        found.append(sorted((r["a"], r["b"]) for r in minhash.prefix_pairs(frame, grouped).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(set(found[0])) and similar and similar <= set(found[0])
+
+
 def test_forest_links():
     rng = np.random.default_rng(4)
     sets = [np.sort(rng.permutation(np.arange(40, dtype=np.uint64))[: 33 + k % 3]) for k in range(60)]
