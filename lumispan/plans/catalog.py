@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SpanFilter, TimeRange, in_range
@@ -191,25 +191,29 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``first``: the user's events in earlier requests.
     """
-    e = read(spark, sf_dir, "events").withColumn("start", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") * 1000)
-    trace = F.when(F.col("event_id") % 10 == 7, "").otherwise(F.concat(F.lit("t"), F.col("user_id")))
-    start = F.when(F.col("event_id") % 10 == 3, "not-a-number").otherwise(F.col("start").cast("string"))
-    end = F.col("start") + (F.col("event_id") % 1000) * 1_000_000 + 999_999
-    body = F.concat(
-        F.lit('{"traceId":"'), trace, F.lit('","spanId":"'), F.concat(F.lit("s"), F.col("event_id")), F.lit('","name":"'), F.col("event_type"), F.lit('","startTimeUnixNano":"'), start,
-        F.lit('","endTimeUnixNano":'), end.cast("string"), F.lit(',"unknown":[1],"attributes":[{"key":"gen_ai.request.model","value":{"stringValue":"model-'), (F.col("user_id") % 5).cast("string"),
-        F.lit('"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"'), (F.col("event_id") % 500).cast("string"), F.lit('"}},{"key":"gen_ai.usage.completion_tokens","value":{"intValue":'), (F.col("event_id") % 100).cast("string"),
-        F.lit('}},{"key":"gen_ai.agent.name","value":{"stringValue":"agent-'), (F.col("user_id") % 11).cast("string"), F.lit('"}}],"status":{"code":'), F.when(F.col("event_type") == "error", "2").otherwise("1"), F.lit("}}"),
-    )
-    e = e.select("user_id", "event_id", F.expr(f"event_id div {SLICE}").alias("slice"), body.alias("body"))
+    start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") * 1000
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", start.alias("start"), F.expr(f"event_id div {SLICE}").alias("slice"))
     # only counts of slices meet in a window of their user
     counts = e.groupBy("user_id", "slice").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("user_id").alias("_user"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     numbered = e.join(starts, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("slice").eqNullSafe(F.col("_slice")))
-    listed = numbered.groupBy("user_id", F.expr(f"first div {SLICE}").alias("request")).agg(F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("event_id", "body"))).alias("all"))
+    listed = numbered.groupBy("user_id", F.expr(f"first div {SLICE}").alias("request")).agg(F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("event_id", "event_type", "start"))).alias("all"))
+
+    def span(e: Column) -> Column:
+        trace = F.when(e["event_id"] % 10 == 7, "").otherwise(F.concat(F.lit("t"), F.col("user_id")))
+        start = F.when(e["event_id"] % 10 == 3, "not-a-number").otherwise(e["start"].cast("string"))
+        end = e["start"] + (e["event_id"] % 1000) * 1_000_000 + 999_999
+        return F.concat(
+            F.lit('{"traceId":"'), trace, F.lit('","spanId":"'), F.concat(F.lit("s"), e["event_id"]), F.lit('","name":"'), e["event_type"], F.lit('","startTimeUnixNano":"'), start,
+            F.lit('","endTimeUnixNano":'), end.cast("string"), F.lit(',"unknown":[1],"attributes":[{"key":"gen_ai.request.model","value":{"stringValue":"model-'), (F.col("user_id") % 5).cast("string"),
+            F.lit('"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"'), (e["event_id"] % 500).cast("string"), F.lit('"}},{"key":"gen_ai.usage.completion_tokens","value":{"intValue":'), (e["event_id"] % 100).cast("string"),
+            F.lit('}},{"key":"gen_ai.agent.name","value":{"stringValue":"agent-'), (F.col("user_id") % 11).cast("string"), F.lit('"}}],"status":{"code":'), F.when(e["event_type"] == "error", "2").otherwise("1"), F.lit("}}"),
+        )
+
+    # texts are made where they are read: only the columns of the events are shuffled
     head = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.namespace","value":{"stringValue":"team-'), (F.col("user_id") % 7).cast("string"), F.lit('"}}]},"scopeSpans":[{"spans":['))
-    return listed.select("user_id", "first", F.concat(head, F.array_join("all.body", ","), F.lit("]}]}]}")).alias("body"))
+    return listed.select("user_id", "first", F.concat(head, F.array_join(F.transform("all", span), ","), F.lit("]}]}]}")).alias("body"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:

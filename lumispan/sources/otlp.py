@@ -45,8 +45,8 @@ def _nanos(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0).cast("bigint")).otherwise(_integer(text))
 
 
-def _first(attributes: Column, keys: list[str], read) -> Column:
-    return F.coalesce(*(read(_attribute(attributes, k)) for k in keys))
+def _first(values: dict[str, Column], keys: list[str], read) -> Column:
+    return F.coalesce(*(read(values[k]) for k in keys))
 
 
 def _as_string(v: Column) -> Column:
@@ -137,32 +137,48 @@ def decodable(request) -> bool:
     return one(request, lambda r: objects(r.get("resourceSpans"), resource)) and request is not None
 
 
+def _once(made: list[str]) -> Column:
+    """The columns ``made``, through a generator. Filters move below projections and compute again what they read, but not below a generator."""
+    return F.inline(F.array(F.struct(*made)))
+
+
 def problems_of(requests: DataFrame, body: str = "body") -> DataFrame:
     """The requests of which nothing is read, without their bodies, and ``problem``."""
-    return parse(requests, body).filter("problem is not null").drop(body, "request")
+    kept = [c for c in requests.columns if c != body]
+    return parse(requests, body).select(*kept, _once(["problem"])).filter("problem is not null")
 
 
 def rejections_of(requests: DataFrame, body: str = "body") -> DataFrame:
     """Everything that is not stored: (the request's other columns, index, field, reason); a whole request has no index and field ``request``."""
     kept = [c for c in requests.columns if c != body]
-    spans = spans_of(requests, body).filter("error is not null").select(*kept, "index", "error.field", "error.reason")
-    whole = problems_of(requests, body).select(*kept, F.lit(None).cast("long").alias("index"), F.lit("request").alias("field"), F.col("problem").alias("reason"))
-    return spans.unionByName(whole)
+    return _read(requests, body).filter("error is not null").select(*kept, "index", "error.field", "error.reason")
 
 
 def spans_of(requests: DataFrame, body: str = "body") -> DataFrame:
     """All spans of whole requests (others are in ``problems_of``), with the request's other columns, ``index`` (request order) and ``error`` (first broken rule or null)."""
+    return _read(requests, body).filter("index is not null")
+
+
+def _read(requests: DataFrame, body: str) -> DataFrame:
+    """``spans_of`` in one pass, and a row without index for each request that has none; its ``error`` has field ``request`` and the problem, if there is one.
+
+    Each layer computes its columns once: a body is parsed once, an attribute looked up once.
+    """
     kept = [c for c in requests.columns if c != body]
-    parsed = parse(requests, body).filter("problem is null")
     nested = F.flatten(F.transform(F.coalesce("request.resourceSpans", F.array().cast(f"array<struct<resource:struct<attributes:{_ATTRIBUTES}>, scopeSpans:array<struct<spans:array<{_SPAN}>>>>>")), lambda r: F.transform(F.flatten(F.transform(r["scopeSpans"], lambda s: F.coalesce(s["spans"], F.array().cast(f"array<{_SPAN}>")))), lambda s: F.struct(r["resource"]["attributes"].alias("resource"), s.alias("s")))))
-    rows = parsed.select(*kept, F.posexplode(nested).alias("index", "x")).select(*kept, F.col("index").cast("long").alias("index"), "x.resource", "x.s.*")
+    # outer, as the optimizer would compute the list of an inner one before, to skip empty ones
+    rows = parse(requests, body).select(*kept, "problem", F.posexplode_outer(F.when(F.col("problem").isNull(), nested)).alias("index", "x"))
+    rows = rows.select(*kept, "problem", F.col("index").cast("long").alias("index"), "x.resource", "x.s.*")
     none = F.array().cast(_ATTRIBUTES)
     rows = rows.withColumns({"attributes": F.coalesce("attributes", none), "resource": F.coalesce("resource", none), "t0": _nanos(F.col("startTimeUnixNano")), "t1": _nanos(F.col("endTimeUnixNano"))})
     # few attributes are left for the lookups, and the others are sorted once
     rows = rows.withColumns({"known": F.filter("attributes", lambda a: a["key"].isin(*CONSUMED)), "free": free_attributes(F.col("attributes"))})
-    a, code = F.col("known"), F.upper(F.trim(F.coalesce("status.code", F.lit(""))))
+    own, shared = {k: f"_own{i}" for i, k in enumerate(CONSUMED)}, {k: f"_shared{i}" for i, k in enumerate(RESOURCE_TEAM_KEYS)}
+    rows = rows.withColumns({c: _attribute(F.col("known"), k) for k, c in own.items()} | {c: _attribute(F.col("resource"), k) for k, c in shared.items()})
+    a, resource, code = {k: F.col(c) for k, c in own.items()}, {k: F.col(c) for k, c in shared.items()}, F.upper(F.trim(F.coalesce("status.code", F.lit(""))))
     mapped = rows.select(
         *kept,
+        "problem",
         "index",
         F.coalesce("traceId", F.lit("")).alias("trace_id"),
         F.coalesce("spanId", F.lit("")).alias("span_id"),
@@ -172,7 +188,7 @@ def spans_of(requests: DataFrame, body: str = "body") -> DataFrame:
         _first(a, AGENT_KEYS, _as_string).alias("agent"),
         _first(a, MODEL_KEYS, _as_string).alias("model"),
         _first(a, TOOL_KEYS, _as_string).alias("tool"),
-        F.coalesce(_first(a, TEAM_KEYS, _as_string), _first(F.col("resource"), RESOURCE_TEAM_KEYS, _as_string)).alias("team"),
+        F.coalesce(_first(a, TEAM_KEYS, _as_string), _first(resource, RESOURCE_TEAM_KEYS, _as_string)).alias("team"),
         F.when((code == "1") | code.endswith("OK"), "ok").when((code == "2") | code.endswith("ERROR"), "error").otherwise("unset").alias("status"),
         _tokens(_first(a, TOKENS_IN_KEYS, _as_integer)).alias("tokens_in"),
         _tokens(_first(a, TOKENS_OUT_KEYS, _as_integer)).alias("tokens_out"),
@@ -180,5 +196,7 @@ def spans_of(requests: DataFrame, body: str = "body") -> DataFrame:
         payload(F.coalesce("name", F.lit("")), F.coalesce("status.message", F.lit("")), F.col("free")).alias("payload"),
         F.coalesce(*(F.when(F.col(c).isNull(), F.struct(F.lit(f).alias("field"), F.lit("is no whole number").alias("reason"))) for c, f in (("t0", "startTimeUnixNano"), ("t1", "endTimeUnixNano")))).alias("unread"),
     )
-    checked = validate(fill(mapped), built_payload=True)
-    return checked.withColumn("error", F.coalesce("unread", "error")).select(*kept, "index", *PUBLIC, "error")
+    made = fill(mapped).select(*kept, "problem", "index", _once([*PUBLIC, "unread"]))
+    whole = F.when(F.col("problem").isNotNull(), F.struct(F.lit("request").alias("field"), F.col("problem").alias("reason")))
+    checked = validate(made, built_payload=True)
+    return checked.withColumn("error", F.when(F.col("index").isNull(), whole).otherwise(F.coalesce("unread", "error"))).select(*kept, "index", *PUBLIC, "error")

@@ -219,6 +219,13 @@ def test_otlp(store):
     assert n == 1 and bad[0][1].field == "Tokens" and store.span("big", "1")["tokens_in"] == 2147483647
 
 
+def test_requests_are_parsed_once(spark):
+    requests = spark.range(3).selectExpr("id", """'{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"s"}]}]}]}' || id body""")
+    for frame in (otlp.spans_of(requests).filter("error is null"), otlp.spans_of(requests).filter("error is not null"), otlp.rejections_of(requests), otlp.problems_of(requests)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("= gen_ai.agent.id)") <= 1
+
+
 def test_buffered_ingest(spark, tmp_path):
     store = SpanStore(spark, str(tmp_path / "s"), buffer_rows=3, buffer_seconds=1000, clock=lambda: NOW)
     for i in range(4):
