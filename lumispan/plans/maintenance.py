@@ -187,7 +187,7 @@ def check(store: SpanStore) -> Report:
         if not store.folder.exists(p["path"]):
             out.errors.append(f"{p['path']} is committed but missing")
     listed = {b["path"] for b in state["log"]} | {p["path"] for p in state["rollups"]} | {d["path"].rsplit("/", 1)[0] for d in base.values()} | {path.split("/day=")[0] for path, _ in state["dropped"]}
-    for kind in ("log", "base", "rollups"):
+    for kind in ("log", "base", "rollups", "incoming"):
         out.warnings += [f"{kind}/{n} is not in the commit" for n in store.folder.names(kind) if f"{kind}/{n}" not in listed]
     highest = max((int(b["path"].split("/")[1].split("-")[0]) for b in state["log"]), default=0)
     if highest > state["batch"]:

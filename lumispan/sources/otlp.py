@@ -151,15 +151,15 @@ def problems_of(requests: DataFrame, body: str = "body") -> DataFrame:
 def rejections_of(requests: DataFrame, body: str = "body") -> DataFrame:
     """Everything that is not stored: (the request's other columns, index, field, reason); a whole request has no index and field ``request``."""
     kept = [c for c in requests.columns if c != body]
-    return _read(requests, body).filter("error is not null").select(*kept, "index", "error.field", "error.reason")
+    return checked(requests, body).filter("error is not null").select(*kept, "index", "error.field", "error.reason")
 
 
 def spans_of(requests: DataFrame, body: str = "body") -> DataFrame:
     """All spans of whole requests (others are in ``problems_of``), with the request's other columns, ``index`` (request order) and ``error`` (first broken rule or null)."""
-    return _read(requests, body).filter("index is not null")
+    return checked(requests, body).filter("index is not null")
 
 
-def _read(requests: DataFrame, body: str) -> DataFrame:
+def checked(requests: DataFrame, body: str = "body") -> DataFrame:
     """``spans_of`` in one pass, and a row without index for each request that has none; its ``error`` has field ``request`` and the problem, if there is one.
 
     Each layer computes its columns once: a body is parsed once, an attribute looked up once.
@@ -198,5 +198,5 @@ def _read(requests: DataFrame, body: str) -> DataFrame:
     )
     made = fill(mapped).select(*kept, "problem", "index", _once([*PUBLIC, "unread"]))
     whole = F.when(F.col("problem").isNotNull(), F.struct(F.lit("request").alias("field"), F.col("problem").alias("reason")))
-    checked = validate(made, built_payload=True)
-    return checked.withColumn("error", F.when(F.col("index").isNull(), whole).otherwise(F.coalesce("unread", "error"))).select(*kept, "index", *PUBLIC, "error")
+    out = validate(made, built_payload=True)
+    return out.withColumn("error", F.when(F.col("index").isNull(), whole).otherwise(F.coalesce("unread", "error"))).select(*kept, "index", *PUBLIC, "error")

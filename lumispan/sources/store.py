@@ -1,7 +1,7 @@
 """The span store: Parquet files and a chain of commit files.
 
 ``log/`` holds batches in arrival order, ``base/`` the compacted live rows by day, ``rollups/``
-one-minute partial buckets of every batch. A commit file lists what is live, with the rows and times of
+one-minute partial buckets of every batch, ``incoming/`` OTLP spans as they were read. A commit file lists what is live, with the rows and times of
 each day and batch; only listed paths are read, so an interrupted write leaves an orphan folder and no
 trace in results, and queries over a time range open just its days. A commit is published under the
 next number, which only one writer can take. Folders that a commit leaves behind stay for a while, so
@@ -109,8 +109,8 @@ class SpanStore:
 
     # -- writing
 
-    def _append(self, rows: DataFrame, stream: tuple[str, int] | None = None) -> int:
-        """Write span rows with ``_deleted`` and ``_index`` as one batch; returns their number."""
+    def _append(self, rows: DataFrame, stream: tuple[str, int] | None = None, incoming: str | None = None) -> int:
+        """Write span rows with ``_deleted`` and ``_index`` as one batch; returns their number. The folder ``incoming``, which they come from, is left."""
         batch, name = self.state["batch"] + 1, f"{self.state['batch'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         path = f"log/{name}"
         shaped = rows.select(*PUBLIC, F.coalesce("_deleted", F.lit(False)).alias("_deleted"), F.lit(batch).cast("long").alias("_batch"), F.col("_index").cast("long").alias("_index"), day().alias("day"))
@@ -127,7 +127,9 @@ class SpanStore:
                 rollup = f"rollups/{name}"
                 rollups.partials(written).write.mode("errorifexists").parquet(f"{self.path}/{rollup}")
                 state["rollups"].append({"path": rollup, "max_ns": facts["high"]})
-        if facts["n"] or stream:
+        if incoming:
+            state["dropped"].append([incoming, self.clock()])
+        if facts["n"] or stream or incoming:
             self._commit(state)
         from ..plans import maintenance
 
@@ -220,13 +222,21 @@ class SpanStore:
         return self._append(good.withColumns({"_deleted": F.lit(False), "_index": F.col("index")})), rejected
 
     def ingest_otlp_frame(self, requests: DataFrame, body: str = "body", stream: tuple[str, int] | None = None) -> tuple[int, DataFrame]:
-        """Append the spans of any number of requests: (rows accepted, ``otlp.rejections_of`` the requests, lazily)."""
+        """Append the spans of any number of requests: (rows accepted, rejections as ``otlp.rejections_of`` gives them).
+
+        Requests are read once, into a folder of ``incoming/`` that the batch's commit leaves to ``vacuum``;
+        rejections are read from there and belong to the batch, whatever becomes of the requests.
+        """
         self._settle()
-        bad = otlp.rejections_of(requests, body)
         if stream and self.state["streams"].get(stream[0], -1) >= stream[1]:
-            return 0, bad.limit(0)
-        good, _ = split(otlp.spans_of(requests, body))
-        return self._append(good.withColumns({"_deleted": F.lit(False), "_index": F.monotonically_increasing_id()}), stream), bad
+            return 0, otlp.rejections_of(requests, body).limit(0)
+        kept = [c for c in requests.columns if c != body]
+        checked = otlp.checked(requests, body).withColumn("_index", F.monotonically_increasing_id())
+        path = f"incoming/{self.state['batch'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        checked.write.mode("errorifexists").parquet(f"{self.path}/{path}")
+        good, bad = split(self._parquet([path], checked.schema))
+        n = self._append(good.filter("index is not null").withColumn("_deleted", F.lit(False)), stream, path)
+        return n, bad.select(*kept, "index", "error.field", "error.reason")
 
     def delete_span(self, trace_id: str, span_id: str) -> None:
         """Absent spans are no error; empty ids are."""

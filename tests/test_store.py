@@ -226,6 +226,25 @@ def test_requests_are_parsed_once(spark):
         assert plan.count("from_json(") == 1 and plan.count("= gen_ai.agent.id)") <= 1
 
 
+def test_frames_of_requests_are_read_once(spark, tmp_path):
+    now, read = [NOW], spark.sparkContext.accumulator(0)
+
+    def body(n):
+        read.add(1)
+        return '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"%s","spanId":"s","startTimeUnixNano":%d}]}]}]}' % ("t" * (n % 2) + str(n) * (n % 2), NOW)
+
+    requests = spark.range(0, 6, 1, 2).select("id", F.udf(body, "string")("id").alias("body")).union(spark.sql("select 6L, '{nope' union all select 7L, '{}'"))
+    store = SpanStore(spark, str(tmp_path / "s"), clock=lambda: now[0], grace_seconds=60)
+    n, bad = store.ingest_otlp_frame(requests)
+    assert n == 3 and sorted(r["trace_id"] for r in store.spans().collect()) == ["t1", "t3", "t5"]
+    assert sorted((r["id"], r["index"], r["field"], r["reason"]) for r in bad.collect()) == [(0, 0, "TraceID", "is empty"), (2, 0, "TraceID", "is empty"), (4, 0, "TraceID", "is empty"), (6, None, "request", "invalid")]
+    assert bad.columns == otlp.rejections_of(requests).columns and read.value == 6
+    assert not maintenance.check(store).warnings
+    assert store.ingest_otlp_frame(requests.limit(0))[0] == 0 and len(store.folder.names("incoming")) == 2
+    now[0] += 61_000_000_000
+    assert maintenance.vacuum(store) == 2 and store.folder.names("incoming") == [] and maintenance.check(store).ok and len(store.trace("t1")) == 1
+
+
 def test_buffered_ingest(spark, tmp_path):
     store = SpanStore(spark, str(tmp_path / "s"), buffer_rows=3, buffer_seconds=1000, clock=lambda: NOW)
     for i in range(4):
